@@ -30,8 +30,8 @@ from gridgraph.llm.common import as_bytes, bound_batches, table
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Entries in the tables of chunks and of piece pairs, in each worker.
-CHUNKS, PAIRS = 200_000, 400_000
+#: Entries in each of the two tables of chunks, and in the table of piece pairs, of a worker.
+CHUNKS, PAIRS = 250_000, 400_000
 
 
 class Codec:
@@ -63,16 +63,17 @@ class Codec:
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "chunks", "pairs", "shorter")} | {"_ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "chunks", "older", "pairs", "shorter", "known")} | {"_ready": False}
 
     def _prepare(self) -> None:
         self.automaton = ahocorasick.Automaton()
         for p in self.made:
             self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
-        known = set(self.made)
+        self.known = known = set(self.made)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), p[0] if len(p) > 1 else None) for p in self.made}
-        self.chunks: dict[str, tuple[list[int], str, str]] = {}
+        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self._ready = True
 
@@ -103,9 +104,9 @@ class Codec:
 
     def pieces(self, part: str) -> list[str]:
         """The pieces of a text without certain boundaries, by backtracking."""
-        n = len(part)
-        if n == 1:
+        if part in self.known or len(part) == 1:
             return [part]
+        n = len(part)
         longest = list(part)  # a character that no piece covers stands for itself
         for last, piece in self.automaton.iter(part[::-1]):
             k = n - 1 - last
@@ -138,40 +139,48 @@ class Codec:
                 begin = k + 1
         yield chunk[begin:]
 
-    def _chunk(self, chunk: str) -> tuple[list[int], str, str]:
-        """Ids, the ids as text, and the decoded text of a chunk, kept for the next time."""
+    def _part(self, part: str) -> tuple[int, str, str]:
         ids: list[int] = []
-        for part in self.parts(chunk):
-            for piece in self.pieces(part):
-                found = self.scores.get(piece)
-                if found is not None:
-                    ids.append(found[1])
-                elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in piece.encode()]
-                else:
-                    ids.append(self.unknown)
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
-        entry = (ids, " ".join(map(str, ids)), self._text(ids))
+        for piece in self.pieces(part):
+            found = self.scores.get(piece)
+            if found is not None:
+                ids.append(found[1])
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in piece.encode()]
+            else:
+                ids.append(self.unknown)
+        return len(ids), " ".join(map(str, ids)), self._text(ids)
+
+    def _entry(self, chunk: str, parts: list[str]) -> tuple[int, str, str]:
+        """Number of ids, the ids as text, and the decoded text of a chunk. It is kept; a
+        full table becomes the older one, from which chunks in use return."""
+        entry = self.older.get(chunk)
+        if entry is None:
+            if len(parts) == 1:
+                entry = self._part(chunk)
+            else:
+                each = [self.chunks.get(p) or self._entry(p, [p]) for p in parts]
+                entry = sum([x[0] for x in each]), " ".join([x[1] for x in each]), "".join([x[2] for x in each])
         if len(chunk) <= 64:
+            if len(self.chunks) >= CHUNKS:
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = entry
         return entry
 
-    def split(self, text: str) -> list[tuple[list[int], str, str]]:
+    def split(self, text: str) -> list[tuple[int, str, str]]:
         if not self._ready:
             self._prepare()
         if not text:
             return []
-        get, chunks = self._chunk, self.chunks
         out = []
         for c in _CHUNK.findall(MARK + text.replace(" ", MARK)):
-            entry = chunks.get(c)
-            out.append(get(c) if entry is None else entry)
+            entry = self.chunks.get(c)
+            out.append(self._entry(c, list(self.parts(c))) if entry is None else entry)
         return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, with the end id behind them."""
-        return [i for ids, _, _ in self.split(text) for i in ids] + [self.end]
+        return [int(i) for _, ids, _ in self.split(text) for i in ids.split()] + [self.end]
 
     def _text(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -226,8 +235,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool =
             for t in texts:
                 parts = codec.split(t.decode("utf-8", "replace") if t else "")
                 if ids:
-                    all_ids.append([i for x in parts for i in x[0]] + [codec.end])
-                n.append(sum([len(x[0]) for x in parts]) + 1)
+                    all_ids.append([int(i) for x in parts for i in x[1].split()] + [codec.end])
+                n.append(sum([x[0] for x in parts]) + 1)
                 digests.append(sha(" ".join([*[x[1] for x in parts], str(codec.end)]).encode()).hexdigest())
                 decoded.append(sha("".join([x[2] for x in parts])[1:].encode()).hexdigest())
             columns = list(batch.columns) if keep_text else list(batch.columns[:-1])
