@@ -1,12 +1,18 @@
 """The queries of this folder, and the SQL that gives the same rows where SQL can."""
 
-from gridgraph.llm import decontaminate, sentencepiece_codec
+from gridgraph.llm import chat, decontaminate, pivot_search, sentencepiece_codec, warc
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+    "op6_topk": pivot_search.op6_topk,
+    "op9_warc": warc.op9_warc,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op6_topk": pivot_search.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
