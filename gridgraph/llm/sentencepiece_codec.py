@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridgraph.llm.common import as_bytes, bound_batches, table
 
 MARK = "▁"
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LETTER = re.compile(r"[^\W\d_]")
 #: Entries in each of the two tables of chunks, and in the table of piece pairs, of a worker.
 CHUNKS, PAIRS = 250_000, 400_000
 
@@ -57,11 +57,27 @@ class Codec:
             raise ValueError("a piece holds a blank behind another character")
         self.scores = scores
         self.joined = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
+        self.chunk = re.compile(self._chunk_pattern())
         self.unknown = lib.unk_id()
         # Pieces that merging their own characters can't make never come out.
         self.made = [p for p in scores if len(p) == 1 or self.merge(p) == [p]]
         self._ready = False
 
+    def _chunk_pattern(self) -> str:
+        """Besides before a mark, a text falls apart for certain between a letter and a
+        character that stands behind a letter in no piece, and behind a character that
+        stands before another in no piece. Words without their punctuation repeat more."""
+        before: dict[str, set[str]] = {}
+        for a, b in self.joined:
+            before.setdefault(b, set()).add(a)
+        first = {p[0] for p in self.joined}
+        ends = [c for c in map(chr, range(0x80)) if not _LETTER.match(c)]
+        free = "".join(re.escape(c) for c in ends if c not in before)
+        held = "".join(f"|(?<![{re.escape(''.join(sorted(before[c])))}])(?={re.escape(c)})" for c in ".,;:!?)" if c in before)
+        last = "".join(re.escape(c) for c in ends if c not in first)
+        line = rf"[^{MARK}\w{last}]*[{last}]+|" if last else ""
+        return rf"{MARK}*[^\W\d_]+(?:(?=[{free}{MARK}]|\Z){held})|{line}{MARK}*[^{MARK}]+|{MARK}+"
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "chunks", "older", "pairs", "shorter", "known")} | {"_ready": False}
 
@@ -173,7 +189,7 @@ class Codec:
         if not text:
             return []
         out = []
-        for c in _CHUNK.findall(MARK + text.replace(" ", MARK)):
+        for c in self.chunk.findall(MARK + text.replace(" ", MARK)):
             entry = self.chunks.get(c)
             out.append(self._entry(c, list(self.parts(c))) if entry is None else entry)
         return out
