@@ -13,6 +13,7 @@ digest; then the HTTP head is taken off and the chunked framing is decoded.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -146,7 +147,7 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
     # The text writer puts a string's bytes down as they are, then the line separator.
     made = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(make, "value binary")
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _record_id(page: int | None, digest: str) -> str:
@@ -191,7 +192,8 @@ def _whole(page: int | None, url: str | None, kind: str, digest: str | None, ref
 
 
 def _parsed(content: bytes) -> Iterator[tuple]:
-    for f, block in parse(content):
+    plain = gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
+    for f, block in parse(plain):
         yield (
             f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), _number(f.get("warc-segment-total-length")),
             _number(f.get("x-page-id")), f.get("warc-target-uri"), f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha256:") or None,
