@@ -1,11 +1,12 @@
 """The queries of this folder, and the SQL that gives the same rows where SQL can."""
 
-from gridgraph.llm import chat, decontaminate, pivot_search, sentencepiece_codec, warc
+from gridgraph.llm import chat, decontaminate, html_text, pivot_search, sentencepiece_codec, warc
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_topk": pivot_search.op6_topk,
+    "op8_html": html_text.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_chat": chat.op10_chat,
 }
