@@ -1,9 +1,10 @@
 """The queries of this folder, and the SQL that gives the same rows where SQL can."""
 
-from gridgraph.llm import chat, decontaminate, html_text, language_id, pivot_search, sentencepiece_codec, warc
+from gridgraph.llm import chat, decontaminate, html_text, language_id, line_dedup, pivot_search, sentencepiece_codec, warc
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language": language_id.op4_language,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_topk": pivot_search.op6_topk,
