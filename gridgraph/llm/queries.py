@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL that gives the same rows where SQL can."""
 
-from gridgraph.llm import chat, decontaminate, html_text, language_id, line_dedup, pivot_search, sentencepiece_codec, warc
+from gridgraph.llm import chat, decontaminate, html_text, language_id, line_dedup, ngram_join, pivot_search, sentencepiece_codec, warc
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_language": language_id.op4_language,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_topk": pivot_search.op6_topk,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_html": html_text.op8_html,
     "op9_warc": warc.op9_warc,
     "op10_chat": chat.op10_chat,
