@@ -7,6 +7,7 @@ read again as the next one's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridgraph.llm import decontaminate, language_id, line_dedup, ngram_join, sentencepiece_codec
 from gridgraph.llm.common import shared_path, table
@@ -17,10 +18,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_known(docs)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one, exactly or within two edits;
     documents of nothing but such lines go."""
-    return line_dedup.drop_repeated_lines(docs)
+    return _counted(line_dedup.drop_repeated_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth, without these."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return _counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The queries of this folder, and the SQL that gives the same rows where SQL can."""
 
-from gridgraph.llm import chat, decontaminate, html_text, language_id, line_dedup, ngram_join, pivot_search, sentencepiece_codec, warc
+from gridgraph.llm import chat, decontaminate, html_text, language_id, license_scan, line_dedup, ngram_join, pivot_search, sentencepiece_codec, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language": language_id.op4_language,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.OP1_SQL,
     "op2_decontamination": decontaminate.OP2_SQL,
     "op6_topk": pivot_search.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
