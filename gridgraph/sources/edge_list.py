@@ -47,7 +47,7 @@ def random_edges(spark: SparkSession, size: int, density: float, seed: int = 42)
 
     Rows are dealt out, and each row's cells are drawn where it is made.
     """
-    cells = spark.range(size).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).cast("bigint").alias("dst"))
+    cells = spark.range(size).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(size - 1)).cast("array<bigint>")).alias("dst"))
     return cells.filter(F.rand(seed) < density).withColumn("attr", F.lit(0))
 
 
