@@ -11,28 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgraph.llm.common import as_bytes, bound_batches, components, cut
 
-#: Members of a block; a task holds two blocks.
-BLOCK = 512
+#: Members of a block, and their weight in all; a task holds two blocks.
+BLOCK, WEIGHT = 512, 2_000_000
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """From ``members(bucket, id)`` (distinct rows): for each id that shares a bucket,
-    ``buckets``, the sorted array of (bucket, size) in which it is to be verified.
+def shared_buckets(members: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+    """From ``members(bucket, id, weight)`` (distinct rows): for each id that shares a
+    bucket, ``buckets``, the sorted array of (bucket, blocks) in which it is to be
+    verified. ``weight`` is about the length of the member's text.
 
     Buckets are compared by size, least id and two sums over their members' hashes, so
     no bucket's members are ever gathered.
     """
     told = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
-    )
-    kept = told.filter("size > 1").groupBy("size", "least", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    return members.join(kept, "bucket").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("buckets"))
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
+        F.sum("weight").alias("weight"),
+    )
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.max("weight") / weight)).cast("int")
+    kept = told.filter("size > 1").groupBy("size", "least", "x", "y").agg(F.min("bucket").alias("bucket"), blocks.alias("blocks")).select("bucket", "blocks")
+    return members.join(kept, "bucket").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "blocks"))).alias("buckets"))
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
@@ -50,19 +54,18 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tupl
         yield rows
 
 
-def link(rows: DataFrame, key: str, buckets: str, data: str, prepare: Callable, linked: Callable, block: int = BLOCK) -> DataFrame:
+def link(rows: DataFrame, key: str, buckets: str, data: str, prepare: Callable, linked: Callable) -> DataFrame:
     """``links(key, links, root)`` from rows of a key (string), its buckets (of
     ``shared_buckets``) and its text: one row for each unit of work in which the key has
     links. A key in no row has none.
 
-    ``prepare(texts)`` makes a unit's texts ready once, and ``linked(ready, i)`` gives the
-    positions after i of the texts that are similar to the one at i.
+    ``prepare(texts)`` makes a unit's texts ready once, and ``linked(ready, i, js)`` gives
+    those of the positions js whose texts are similar to the one at i.
     """
     bound_batches(rows.sparkSession, 500)
-    of_blocks = F.ceil(F.col("u.size") / F.lit(block)).cast("int")
     dealt = (
         rows.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d"), F.transform(buckets, lambda b: b["bucket"]).alias("all"), F.explode(buckets).alias("u"))
-        .select("k", "d", "all", F.col("u.bucket").alias("bucket"), of_blocks.alias("n"))
+        .select("k", "d", "all", F.col("u.bucket").alias("bucket"), F.col("u.blocks").alias("n"))
         .withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "k", "own", "all", "d")
@@ -100,14 +103,18 @@ def _unit(rows: list[tuple], prepare: Callable, linked: Callable) -> list[tuple]
             i = root[i]
         return i
 
-    single = [len(r[5]) == 1 for r in rows]
-    sets = [None if s else set(r[5]) for s, r in zip(single, rows, strict=True)]
-    for i in range(len(rows)):
-        for j in linked(ready, i):
-            if a != b and rows[i][4] == rows[j][4]:
-                continue  # both in one block: that block's own unit has the pair
-            if not (single[i] or single[j]) and min(sets[i] & sets[j]) != bucket:
-                continue  # a lesser bucket that both share has the pair
+    sets = [set(r[5]) for r in rows]
+    own = np.array([r[4] for r in rows])
+    # Most members of a large group share their least bucket, and their pairs are its.
+    first = np.array([min(r[5]) for r in rows])
+    for i in range(len(rows) - 1):
+        js = (first[i + 1 :] != first[i]) | (first[i] == bucket)
+        if a != b:
+            js &= own[i + 1 :] != own[i]  # pairs of one block are in that block's own unit
+        js = np.flatnonzero(js) + i + 1
+        if first[i] != bucket:
+            js = [j for j in js.tolist() if min(sets[i] & sets[j]) == bucket]
+        for j in linked(ready, i, np.asarray(js, np.int64)) if len(js) else ():
             count[i] += 1
             count[j] += 1
             root[top(i)] = top(j)

@@ -116,10 +116,10 @@ def _text(column: str):
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no (from 0), k1, k2: the lines that take part, with two hashes that
-    together stand for their content."""
+    """doc_id, line_no (from 0), k1, k2, size: the lines that take part, with two hashes that
+    together stand for their content, and size."""
     lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(F.split(_text(text_col), "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= least).select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(3), "line").alias("k2"))
+    return lines.filter(F.length("line") >= least).select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(3), "line").alias("k2"), F.length("line").cast("bigint").alias("size"))
 
 
 def _candidates(docs: DataFrame, text_col: str, least: int, threshold: int) -> DataFrame:
@@ -208,23 +208,17 @@ def _keys(keys: list[int], ids: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, ids)], names=["key", "id"])
 
 
-def _prepare(threshold: int):
-    def ready(texts: list[bytes]) -> tuple[list[str], list[list[int]]]:
+def _verifier(threshold: int):
+    def prepare(texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lines = [t.decode("utf-8", "replace") for t in texts]
-        by_length: dict[int, list[int]] = {}
-        for i, x in enumerate(lines):
-            by_length.setdefault(len(x), []).append(i)
-        return lines, by_length
+        return lines, np.array([len(x) for x in lines])
 
-    def linked(ready: tuple, i: int) -> Iterator[int]:
-        lines, by_length = ready
-        mine = lines[i]
-        for n in range(len(mine) - threshold, len(mine) + threshold + 1):
-            for j in by_length.get(n, ()):
-                if j > i and within(mine, lines[j], threshold):
-                    yield j
+    def linked(ready: tuple, i: int, js: np.ndarray) -> list[int]:
+        lines, sizes = ready
+        near = js[np.abs(sizes[js] - sizes[i]) <= threshold].tolist()
+        return [j for j in near if within(lines[i], lines[j], threshold)]
 
-    return ready, linked
+    return prepare, linked
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: int = THRESHOLD) -> DataFrame:
@@ -239,22 +233,24 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bound_batches(docs.sparkSession)
     lines = line_keys(docs, id_col, text_col, least)
-    equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "lines")
-    met = shared_buckets(written(_candidates(docs, text_col, least, threshold), "line-members"))
+    equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
+    members = written(_candidates(docs, text_col, least, threshold), "line-members")
+    sizes = equal.groupBy(F.col("k1").alias("id")).agg(F.max("size").alias("weight"))
+    met = shared_buckets(members.join(sizes, "id").select("bucket", "id", "weight"))
     asked = equal.join(met.withColumnRenamed("id", "k1"), "k1").select("first.doc_id", "first.line_no", "k1", "k2", "buckets")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(_text(text_col), "\n", -1).alias("t"))
     # Of documents that share an id, the one that has the line is meant.
     found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"])).select("k1", "k2", "buckets", F.get("t", "line_no").alias("line"))
     found = found.filter((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(3), "line") == F.col("k2")))
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
-    ready, linked = _prepare(threshold)
-    near = classes(link(found.select(key.alias("key"), "buckets", "line"), "key", "buckets", "line", ready, linked))
+    prepare, linked = _verifier(threshold)
+    near = classes(link(found.select(key.alias("key"), "buckets", "line"), "key", "buckets", "line", prepare, linked))
     near = equal.select(key.alias("key"), "k1", "k2", "first").join(near, "key")
     near = written(near.select("k1", "k2", "first", "n_links", "root"), "line-links")
     least_of = near.groupBy("root").agg(F.min("first").alias("class"))
     near = near.join(least_of, "root").select("k1", "k2", "class", "n_links")
     told = equal.join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    out = lines.join(told, ["k1", "k2"]).select(
+    out = lines.drop("size").join(told, ["k1", "k2"]).select(
         "doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links"
     )
     return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))

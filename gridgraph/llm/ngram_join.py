@@ -92,21 +92,22 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2 (null without words), bands (array of band hashes)."""
-    schema = "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    """doc_id, k1, k2 (null without words), size (n-grams), bands (array of band hashes)."""
+    schema = "doc_id bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>"
     signer = Signer(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, signs = [], []
+            keys, signs, sizes = [], [], []
             for text in as_bytes(batch.column(1)):
                 grams = shingles(text, hashes, n)
+                sizes.append(len(grams))
                 keys.append(_signed(set_key(grams)) if len(grams) else (None, None))
                 signs.append(signer(grams).view(np.int64) if len(grams) else np.zeros(0, np.int64))
             offsets = np.append(0, np.cumsum([len(s) for s in signs])).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), made], names=["doc_id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), made], names=["doc_id", "k1", "k2", "size", "bands"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
@@ -116,7 +117,10 @@ def _signed(pair: tuple[int, int]) -> tuple[int, int]:
 
 
 class _Verifier:
-    """Similar sets of a unit: overlaps of one set with all others, counted at once."""
+    """Similar sets of a unit. A set's hashes mark slots; the marked slots of the others
+    bound their overlaps from above, and what passes the bound is counted exactly."""
+
+    SLOTS = 22
 
     def __init__(self, n: int, threshold: float):
         self.n, self.threshold = n, threshold
@@ -124,22 +128,26 @@ class _Verifier:
     def prepare(self, texts: list[bytes]) -> tuple:
         hashes = WordHashes()
         sets = [shingles(t, hashes, self.n) for t in texts]
-        sizes = np.array([len(s) for s in sets])
-        flat, starts = np.concatenate(sets), np.append(0, np.cumsum(sizes))
-        _, number = np.unique(flat, return_inverse=True)
-        return number, starts, sizes, np.zeros(number.max(initial=0) + 1, bool)
-
-    def linked(self, ready: tuple, i: int) -> list[int]:
-        number, starts, sizes, mark = ready
-        if i + 1 >= len(sizes):
+        slots = [(s >> np.uint64(64 - self.SLOTS)).astype(np.int32) for s in sets]
+        return sets, slots, np.array([len(s) for s in sets]), np.zeros(1 << self.SLOTS, bool)
+
+    def linked(self, ready: tuple, i: int, js: np.ndarray) -> list[int]:
+        sets, slots, sizes, mark = ready
+        # Sets of too different sizes can't reach the threshold.
+        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+        js = js[small >= self.threshold * large - 1e-9]
+        if not len(js):
             return []
-        own = number[starts[i] : starts[i + 1]]
-        mark[own] = True
-        both = np.add.reduceat(mark[number[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
-        mark[own] = False
-        # Jaccard as a fraction of integers, so that the threshold itself is met exactly.
-        union = sizes[i] + sizes[i + 1 :] - both
-        return (np.flatnonzero(both >= self.threshold * union - 1e-9) + i + 1).tolist()
+        mark[slots[i]] = True
+        out = []
+        for j in js.tolist():
+            need = self.threshold / (1 + self.threshold) * (sizes[i] + sizes[j]) - 1e-6
+            if np.count_nonzero(mark[slots[j]]) >= need:
+                both = int(sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j])))
+                if both >= self.threshold * (sizes[i] + sizes[j] - both) - 1e-9:
+                    out.append(j)
+        mark[slots[i]] = False
+        return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
@@ -155,9 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall, hashes)
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min("bands").alias("bands"))
+    sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("weight"), F.min("bands").alias("bands"))
     sets = written(sets, "sets")
-    met = shared_buckets(sets.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id")).distinct())
+    met = shared_buckets(sets.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"), "weight").groupBy("bucket", "id").agg(F.max("weight").alias("weight")))
     asked = sets.join(met.withColumnRenamed("id", "k1"), "k1").select(F.col("least").alias("doc_id"), "k1", "k2", "buckets")
     texts = docs.select(F.col(id_col).cast("bigint").alias("own"), F.col(text_col).cast("string").alias("t"))
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
