@@ -46,7 +46,8 @@ def encode(edges: DataFrame, k: int, size: int, by: list[str] | None = None, lin
     internal (bits above the last level) and leaves (cells). Cells may repeat.
 
     Every level is a set of distinct prefixes of positions; a node is the bits that its
-    children set. A group is one block of a matrix: its tree is gathered in one row.
+    children set. A group is one block of a matrix: its tree is gathered in one row. Without
+    groups, no cells give one tree without bits.
     """
     by = by or []
     k2, h = k * k, height_of(k, size)
@@ -62,7 +63,7 @@ def encode(edges: DataFrame, k: int, size: int, by: list[str] | None = None, lin
         F.sum(F.when(F.col("level") == h - 1, F.col("set")).otherwise(0)).alias("leaves"),
         F.count(F.when(F.col("level") < h - 1, 1)).alias("inner"),
     )
-    return out.select(*by, F.lit(k).alias("k"), F.lit(k**h).cast("bigint").alias("size"), "bits", (F.col("inner") * k2).cast("bigint").alias("internal"), F.col("leaves").cast("bigint").alias("leaves"))
+    return out.select(*by, F.lit(k).alias("k"), F.lit(k**h).cast("bigint").alias("size"), "bits", (F.col("inner") * k2).cast("bigint").alias("internal"), F.coalesce("leaves", F.lit(0)).cast("bigint").alias("leaves"))
 
 
 def decode_bits(bits: str, k: int, size: int) -> list[tuple[int, int]]:
