@@ -250,6 +250,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least_of = near.groupBy("root").agg(F.min("first").alias("class"))
     near = near.join(least_of, "root").select("k1", "k2", "class", "n_links")
     told = equal.join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    # Written, so that the join below has an exchange on either side: then the key of a
+    # line that most documents have can be split.
+    told = written(told, "line-classes")
     out = lines.drop("size").join(told, ["k1", "k2"]).select(
         "doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links"
     )
