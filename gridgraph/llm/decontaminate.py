@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import _TO_WORDS, as_bytes, bound_batches, table, words
+from gridgraph.llm.common import _TO_WORDS, as_bytes, bound_batches, fresh, table, words
 
 WINDOW = 13
 SAMPLE = 8
@@ -108,9 +108,12 @@ class FMIndex:
     """Backward search and located occurrences over an array of symbols 0..n_symbols-1."""
 
     def __init__(self, text: np.ndarray, n_symbols: int):
+        # Symbols move up by one; an end mark that is less than all of them and stands
+        # once lets the text be read as a ring.
+        text, n_symbols = np.append(text + 1, 0), n_symbols + 1
         sa = suffix_array(text)
         self.n = len(text)
-        bwt = text[sa - 1]  # the text is read as a ring
+        bwt = text[sa - 1]
         self.first = np.append(0, np.cumsum(np.bincount(text, minlength=n_symbols)))
         self.wavelet = WaveletMatrix(bwt, n_symbols)
         sampled = sa % SAMPLE == 0
@@ -122,7 +125,7 @@ class FMIndex:
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         alive = np.arange(len(patterns))
         for symbol in patterns.T[::-1]:
-            s = symbol[alive]
+            s = symbol[alive] + 1
             lo[alive] = self.first[s] + self.wavelet.rank(s, lo[alive])
             hi[alive] = self.first[s] + self.wavelet.rank(s, hi[alive])
             gone = hi[alive] <= lo[alive]
@@ -313,8 +316,10 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents; from the others the found spans are cut.
     Columns and their order stay; null texts stay null."""
-    found = find_spans(docs, benchmark, text_col=text_col, **options)
-    schema = docs.schema
+    # Columns of the names that are found here step aside meanwhile.
+    own = docs.withColumnsRenamed({c: fresh(docs, f"own_{c}") for c in ("n_words", "spans", "items") if c in docs.columns})
+    found = find_spans(own, benchmark, text_col=text_col, **options)
+    schema = own.schema
     names = [f.name for f in schema.fields]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +337,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
             own = [columns[batch.schema.get_field_index(c)] for c in names]
             yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(remove, schema)
+    return found.mapInArrow(remove, schema).toDF(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
