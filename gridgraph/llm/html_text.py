@@ -36,6 +36,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var del dfn data".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th".split())
+TABLE_PARTS = SECTIONS | CELLS | frozenset("caption colgroup col tr".split())
+BETWEEN = SECTIONS | frozenset("table tr".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -88,7 +90,7 @@ class Builder:
                 if name == "style":
                     self.sheets.append(page[at:close])
                 elif name in RAW_WITH_ENTITIES and close > at:
-                    self.stack[-1].children.append(unescape(page[at:close]))
+                    self.place(unescape(page[at:close]), False)
                 end = page.find(">", close)
                 at = len(page) if end < 0 else end + 1
                 self.end(name)
@@ -97,18 +99,21 @@ class Builder:
 
     def text(self, text: str) -> None:
         text = unescape(text) if "&" in text else text
-        top = self.stack[-1]
-        if top.tag in ("table", "tr", *SECTIONS) and text.strip():
-            # Text between table parts stands before the table.
-            at = max(k for k, n in enumerate(self.stack) if n.tag == "table")
-            parent = self.stack[at - 1]
-            parent.children.insert(parent.children.index(self.stack[at]), text)
+        self.place(text, not text.strip())
+
+    def place(self, child: Node | str, in_table: bool) -> None:
+        """Adds to the open element; between table parts, what is none stands before the
+        table."""
+        if in_table or self.stack[-1].tag not in BETWEEN:
+            self.stack[-1].children.append(child)
             return
-        top.children.append(text)
+        at = max(k for k, n in enumerate(self.stack) if n.tag == "table")
+        before = self.stack[at - 1].children
+        before.insert(next((k for k in range(len(before) - 1, -1, -1) if before[k] is self.stack[at]), len(before)), child)
 
     def push(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         node = Node(tag, attrs or {})
-        self.stack[-1].children.append(node)
+        self.place(node, tag in TABLE_PARTS or tag in UNSEEN)
         self.stack.append(node)
 
     def close(self, tags: frozenset[str] | tuple[str, ...], within: tuple[str, ...]) -> None:
@@ -130,6 +135,8 @@ class Builder:
             self.close(("p",), ("table", "td", "th", "caption", "button", "object", "template"))
             if self.stack[-1].tag == "head":
                 self.stack.pop()
+        if tag == "table" and self.stack[-1].tag in BETWEEN:
+            self.close(("table",), ())
         if tag == "li":
             self.close(("li",), ("ul", "ol", "menu", "dir", "table", "td", "th"))
         elif tag in ("dt", "dd"):
@@ -159,7 +166,7 @@ class Builder:
                 self.push("tbody")
         attrs = _attributes(raw) if raw.strip(" /\n\t") else {}
         if tag in VOID:
-            self.stack[-1].children.append(Node(tag, attrs))
+            self.place(Node(tag, attrs), False)
         elif tag in FORMATTING and not ({"hidden", "style", "class", "id"} & attrs.keys()):
             return
         elif len(self.stack) < DEPTH:
@@ -167,13 +174,13 @@ class Builder:
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.stack[-1].children.append(Node("br", {}))
+            self.place(Node("br", {}), False)
         elif tag in ("html", "body"):
             return
         elif tag in HEADINGS:
             self.close(HEADINGS, ("table", "td", "th"))
         elif tag == "p" and not any(n.tag == "p" for n in self.stack):
-            self.stack[-1].children.append(Node("p", {}))
+            self.place(Node("p", {}), False)
         elif tag in ("table", "tr", *CELLS, *SECTIONS):
             self.close((tag,), () if tag == "table" else ("table",))
         else:
@@ -328,6 +335,7 @@ class Renderer:
         grid: list[dict[int, list[str]]] = []
         taken: dict[int, int] = {}  # columns that cells of earlier rows still fill
         widths: dict[int, int] = {}
+        spanning: list[tuple[int, int, int]] = []
         for row, seen in rows:
             cells: dict[int, list[str]] = {}
             at, later = 0, {c: n - 1 for c, n in taken.items() if n > 1}
@@ -339,14 +347,21 @@ class Renderer:
                 across, down = (min(1000, int(v)) if (v := cell.attrs.get(k, "")).isdecimal() and v.isascii() and int(v[:6]) else 1 for k in ("colspan", "rowspan"))
                 inner = self.lines(cell, shown=self.shown(cell, seen))
                 cells[at] = inner
+                wide = max(map(width, inner), default=0)
                 if across == 1:
-                    widths[at] = max([widths.get(at, 0), *map(width, inner)])
+                    widths[at] = max(widths.get(at, 0), wide)
+                else:
+                    spanning.append((at, across, wide))
                 for c in range(at, at + across):
                     if down > 1:
                         later[c] = down - 1
                 at += across
             grid.append(cells)
             taken = later
+        for at, across, wide in spanning:  # the last column that it spans makes room
+            spare = wide - sum(widths.get(c, 0) + 2 for c in range(at, at + across)) + 2
+            if spare > 0:
+                widths[at + across - 1] = widths.get(at + across - 1, 0) + spare
         out = [x for lines in above for x in lines]
         for cells in grid:
             for k in range(max(map(len, cells.values()), default=0)):
