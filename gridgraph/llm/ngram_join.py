@@ -175,6 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(sets.select(key.alias("key"), "k1", "k2", "least").join(near, "key").select("k1", "k2", "least", "n_links", "root"), "set-links")
     near = near.join(near.groupBy("root").agg(F.min("least").alias("class")), "root").select("k1", "k2", "class", "n_links")
     told = sets.select("k1", "k2", "least", "n_copies").join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
+    # Written, so that the join below has an exchange on either side: then a key that a
+    # third of all documents share can be split.
+    told = written(told, "set-classes")
     alone = signed.filter("k1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return signed.filter("k1 is not null").select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies").unionAll(alone)
 
