@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, bound_batches, components, cut
+from gridgraph.llm.common import as_bytes, bound_batches
+from gridgraph.plans.algorithms import component_labels
+from gridgraph.plans.lineage import cut
 
 #: Members of a block, and their weight in all; a task holds two blocks.
-BLOCK, WEIGHT = 512, 2_000_000
+BLOCK, WEIGHT = 256, 2_000_000
 
 
 def shared_buckets(members: DataFrame, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
@@ -129,5 +131,5 @@ def classes(links: DataFrame) -> DataFrame:
     """``(key, n_links, root)`` from ``links``: the sum of links of each key, and the least
     key of its connected component."""
     links = cut(links)
-    roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    roots = component_labels(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     return links.groupBy("key").agg(F.sum("links").alias("n_links")).join(roots.withColumnRenamed("node", "key"), "key")

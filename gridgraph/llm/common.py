@@ -1,13 +1,13 @@
-"""What several operators of this folder need: shared storage, words, names, components."""
+"""What several operators of this folder need: shared storage, words, names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from gridgraph.plans.lineage import ensure_checkpoint_dir
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a
 #: blank; bytes from 0x80 on (all of UTF-8's longer sequences) stay word bytes.
@@ -28,27 +28,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir. Where none is
-    named (tests on one machine), a temporary one is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridgraph-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table below the shared folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as Parquet in the shared folder: columns and row groups can be skipped
     when it is read again, which a checkpoint does not offer."""
@@ -74,35 +58,3 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows ``(node, root)``, root the least
-    node of the component, for every node that any edge names.
-
-    Each round joins every node to the least label near it (large stars, then small
-    stars), so paths shrink by half or more; the rounds are logarithmic in the longest
-    path. Only sums and minima are shuffled on node, never a node's whole list, and
-    each round is cut in the shared folder.
-    """
-    both = edges.filter("a <> b").select("a", "b")
-    current = cut(both.unionAll(both.selectExpr("b as a", "a as b")).distinct())
-    labels = current.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("node"), "m")
-    labels = cut(labels)
-    while True:
-        # The least label among a node's neighbours, its own, and its label's label.
-        near = (
-            current.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("m").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", "m", F.least("m", "near").alias("near"))
-        up = step.groupBy(F.col("m").alias("node")).agg(F.min("near").alias("up"))
-        hooked = step.join(up, "node", "left").select("node", "m", F.least("near", F.coalesce("up", "near")).alias("n"))
-        jump = hooked.select(F.col("node").alias("n"), F.col("n").alias("root"))
-        moved = cut(
-            hooked.join(jump, "n", "left").select("node", F.least("n", F.coalesce("root", "n")).alias("m"), (F.col("m") != F.least("n", F.coalesce("root", "n"))).alias("changed"))
-        )
-        labels = moved.select("node", "m")
-        if moved.filter("changed").isEmpty():
-            return labels.select("node", F.col("m").alias("root"))

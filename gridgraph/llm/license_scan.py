@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import cut, table, written
+from gridgraph.llm.common import table, written
+from gridgraph.plans.lineage import cut
 
 THRESHOLD = 0.75
 WORD = r"[\p{L}\p{N}]+"
