@@ -126,7 +126,17 @@ def positions(words: Column | str) -> Column:
 
 def next_set_bit(words: Column | str, n: int | Column) -> Column:
     """The first set bit at or after n, -1 if there is none."""
-    return F.coalesce(F.array_min(F.filter(positions(words), lambda p: p >= _long(n))), _long(-1))
+    w, n = _words(words), _long(n)
+    left = _ranged(w, n, F.size(w).cast(_LONG) * 64 - 1, lambda x, m: x.bitwiseAND(m), lambda x: _long(0))
+    first = F.element_at(F.filter(F.transform(left, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda s: s["x"] != 0), 1)
+    return F.when(F.exists(left, lambda x: x != 0), first["k"].cast(_LONG) * 64 + _trailing_zeros(first["x"])).otherwise(_long(-1))
+
+
+def _trailing_zeros(x: Column) -> Column:
+    """Zeros below the lowest set bit of a word that is not 0. The lowest 63 bits can be
+    negated without overflow; if none of them is set, the bit is the last."""
+    low = x.bitwiseAND(_long(2**63 - 1))
+    return F.when(low == 0, 63).otherwise(F.bit_count(F.bitwise_not(low.bitwiseOR(-low))))
 
 
 def capacity(words: Column | str) -> Column:
