@@ -30,11 +30,12 @@ def transition_edges(g: PropertyGraph) -> DataFrame:
     return g.edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("attr"))
 
 
-def _scaled(ranks: DataFrame, total) -> DataFrame:
-    """Ranks scaled so that they sum up to ``total``; all stay as they are if they sum to 0."""
-    whole = ranks.agg(F.sum("attr").alias("sum"), F.count(F.lit(1)).alias("n"))
-    factor = F.when(F.col("sum") != 0, total / F.col("sum")).otherwise(F.lit(1.0))
-    return ranks.crossJoin(whole.select(factor.alias("factor"))).select("id", (F.col("attr") * F.col("factor")).alias("attr"))
+def _scaled(ranks: DataFrame, total: float | None = None) -> DataFrame:
+    """Ranks scaled so that they sum up to ``total`` (None: to their number); all stay as
+    they are if they sum to 0. The sum is one row, whatever the size of the graph."""
+    whole = ranks.agg(F.coalesce(F.sum("attr"), F.lit(0.0)).alias("sum"), F.count(F.lit(1)).alias("n")).first()
+    factor = (whole.n if total is None else total) / whole["sum"] if whole["sum"] else 1.0
+    return ranks.select("id", (F.col("attr") * factor).alias("attr"))
 
 
 def static_page_rank(g: PropertyGraph, iterations: int, reset: float = RESET, source: int | None = None, cut_every: int = 5) -> PropertyGraph:
@@ -49,7 +50,7 @@ def static_page_rank(g: PropertyGraph, iterations: int, reset: float = RESET, so
         ranks = g.vertices.select("id").join(sent, "id", "left").select("id", (base + (1 - reset) * F.coalesce("sum", F.lit(0.0))).alias("attr"))
         if (k + 1) % cut_every == 0:
             ranks = cut(ranks)
-    return _graph(_scaled(cut(ranks), F.col("n") if source is None else F.lit(1.0)), edges)
+    return _graph(_scaled(cut(ranks), None if source is None else 1.0), edges)
 
 
 def static_personalized_page_rank(g: PropertyGraph, source: int, iterations: int, reset: float = RESET) -> PropertyGraph:
@@ -90,7 +91,7 @@ def page_rank(g: PropertyGraph, tolerance: float, reset: float = RESET, source:
 
     out = pregel(_graph(v, edges), initial, program, to_dst=lambda t: F.when(t.src_attr["delta"] > tolerance, t.src_attr["delta"] * t.attr), merge="sum", direction="out")
     ranks = out.vertices.select("id", F.col("attr")["rank"].alias("attr"))
-    return _graph(_scaled(ranks, F.col("n") if source is None else F.lit(1.0)), out.edges)
+    return _graph(_scaled(ranks, None if source is None else 1.0), out.edges)
 
 
 def personalized_page_rank(g: PropertyGraph, source: int, tolerance: float, reset: float = RESET) -> PropertyGraph:
