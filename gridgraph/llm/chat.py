@@ -96,34 +96,40 @@ def _examples(conv: int | None, turns: list[dict]) -> Iterator[tuple]:
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END), re.DOTALL)
 
 
+_READ = "conv_id bigint, example int, n_turns bigint, turns_sha256 string, loss string, formatted_chars bigint"
+
+
 def read_back(examples: DataFrame) -> DataFrame:
     """One row per conversation, from its examples alone: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
+    Each example is read where it is; digests and trainable texts meet by conversation.
     The last example of a conversation holds all of its turns; the trainable texts of
     all examples, in order, are the replies.
     """
-    out = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    bound_batches(examples.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
-            rows = []
-            for conv, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                group = group.as_py()
-                loss = "".join(unescape(x["formatted"][x["loss_start"] : x["loss_end"]]) for x in group)
-                last = group[-1]["formatted"]
-                turns = _TURN.findall(last)
-                if sum(len(r) + len(t) + len(START) + len(MIDDLE) + len(END) for r, t in turns) != len(last):
+            columns: list[list] = [[], [], [], []]
+            for formatted, start, end in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                turns = _TURN.findall(formatted)
+                if sum(len(r) + len(t) + len(START) + len(MIDDLE) + len(END) for r, t in turns) != len(formatted):
                     raise ValueError("an example is not a sequence of turns")
                 told = "".join(f"{unescape_role(r)}\n{unescape(t)}\n" for r, t in turns)
-                rows.append((conv, len(turns), digest(told), len(loss), digest(loss), sum(len(x["formatted"]) for x in group)))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in out.split(", ")])
-
-    group = F.array_sort(F.collect_list(F.struct("example", "formatted", "loss_start", "loss_end")))
-    return examples.groupBy("conv_id").agg(group.alias("examples")).mapInArrow(run, out)
+                row = (len(turns), hashlib.sha256(told.encode()).hexdigest(), unescape(formatted[start:end]), len(formatted))
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, types)], names=[x.split()[0] for x in _READ.split(", ")])
+
+    each = examples.select("conv_id", "example", "formatted", "loss_start", "loss_end").mapInArrow(run, _READ)
+    out = each.groupBy("conv_id").agg(
+        F.max_by(F.struct("n_turns", "turns_sha256"), "example").alias("whole"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("formatted_chars").alias("formatted_chars"),
+    )
+    return out.select("conv_id", "whole.n_turns", "whole.turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
