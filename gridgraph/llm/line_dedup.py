@@ -29,7 +29,7 @@ THRESHOLD = 2
 #: Shorter lines (in code points) take no part: two edits would make other words of them.
 LEAST = 24
 #: Lines that a task remembers in order not to pass them on again.
-SEEN = 1 << 19
+SEEN = 1 << 18
 
 
 def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions of a signature, at most.
 HASHES = 100
 #: Words whose hashes a worker keeps.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 _STEP = 4096
 
 
