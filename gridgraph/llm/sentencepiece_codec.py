@@ -31,7 +31,8 @@ from gridgraph.llm.common import as_bytes, bound_batches, table
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Entries in each of the two tables of chunks, and in the table of piece pairs, of a worker.
-CHUNKS, PAIRS = 250_000, 400_000
+CHUNKS, PAIRS = 220_000, 400_000
+_NO_MERGE = float("-inf")
 
 
 class Codec:
@@ -56,6 +57,7 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece holds a blank behind another character")
         self.scores = scores
+        self.order = {p: score for p, (score, _) in scores.items()}
         self.joined = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
         self.chunk = re.compile(self._chunk_pattern())
         self.unknown = lib.unk_id()
@@ -79,14 +81,15 @@ class Codec:
         return rf"{MARK}*[^\W\d_]+(?:(?=[{free}{MARK}]|\Z){held})|{line}{MARK}*[^{MARK}]+|{MARK}+"
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "chunks", "older", "pairs", "shorter", "known")} | {"_ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "chunks", "older", "pairs", "shorter", "coded")} | {"_ready": False}
 
     def _prepare(self) -> None:
         self.automaton = ahocorasick.Automaton()
         for p in self.made:
             self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
-        self.known = known = set(self.made)
+        known = set(self.made)
+        self.coded = {p: (str(self.scores[p][1]), p.replace(MARK, " ")) for p in self.made}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in known), p[0] if len(p) > 1 else None) for p in self.made}
         self.chunks: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
@@ -95,33 +98,42 @@ class Codec:
 
     def merge(self, text: str) -> list[str]:
         """Merging by score from single characters; the leftmost of equals first."""
+        return self._merge(text, -1)
+
+    def _merge(self, text: str, border: int) -> list[str]:
+        """Merged parts; none as soon as a merge would take in the first ``border``
+        characters' last part and the part behind it."""
+        get, none = self.order.get, _NO_MERGE
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                found = self.scores.get(parts[k] + parts[k + 1])
-                if found is not None and (best is None or found[0] > best):
-                    best, at = found[0], k
-            if at < 0:
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            k = scores.index(best)
+            if k == border - 1:
+                return []
+            if k < border:
+                border -= 1
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the characters of both again gives the two pieces."""
-        if a[-1] + b[0] not in self.joined:
-            return True
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            known = self.pairs[a, b] = self._merge(a + b, len(a)) == [a, b]
         return known
 
     def pieces(self, part: str) -> list[str]:
         """The pieces of a text without certain boundaries, by backtracking."""
-        if part in self.known or len(part) == 1:
-            return [part]
         n = len(part)
         longest = list(part)  # a character that no piece covers stands for itself
         for last, piece in self.automaton.iter(part[::-1]):
@@ -130,22 +142,27 @@ class Codec:
                 longest[k] = piece
         open_positions = (1 << (n + 1)) - 1
         out: list[str] = []
+        pairs, shorter, compatible = self.pairs, self.shorter, self.compatible
         at, piece = 0, longest[0]
         while True:
             end = at + len(piece)
-            if open_positions >> end & 1 and (not out or self.compatible(out[-1], piece)):
-                out.append(piece)
-                at = end
-                if at == n:
-                    return out
-                piece = longest[at]
-                continue
-            piece = self.shorter.get(piece)
+            if open_positions >> end & 1:
+                fits = not out or pairs.get((out[-1], piece))
+                if fits is None:
+                    fits = compatible(out[-1], piece)
+                if fits:
+                    out.append(piece)
+                    at = end
+                    if at == n:
+                        return out
+                    piece = longest[at]
+                    continue
+            piece = shorter.get(piece)
             while piece is None:
                 open_positions &= ~(1 << at)
                 last = out.pop()
                 at -= len(last)
-                piece = self.shorter.get(last)
+                piece = shorter.get(last)
 
     def parts(self, chunk: str) -> Iterator[str]:
         begin = 0
@@ -156,15 +173,16 @@ class Codec:
         yield chunk[begin:]
 
     def _part(self, part: str) -> tuple[int, str, str]:
+        own = self.coded.get(part)
+        if own is not None:
+            return 1, *own
+        found = self.pieces(part) if len(part) > 1 else [part]
+        coded = [self.coded.get(piece) for piece in found]
+        if None not in coded:
+            return len(coded), " ".join([c[0] for c in coded]), "".join([c[1] for c in coded])
         ids: list[int] = []
-        for piece in self.pieces(part):
-            found = self.scores.get(piece)
-            if found is not None:
-                ids.append(found[1])
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
+        for piece, code in zip(found, coded, strict=True):
+            ids += [int(code[0])] if code else [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
         return len(ids), " ".join(map(str, ids)), self._text(ids)
 
     def _entry(self, chunk: str, parts: list[str]) -> tuple[int, str, str]:
