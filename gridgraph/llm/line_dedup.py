@@ -26,7 +26,8 @@ from gridgraph.llm.common import as_bytes, bound_batches, fresh, table, written
 
 #: Edits within which lines count as one.
 THRESHOLD = 2
-#: Shorter lines (in code points) take no part: two edits would make other words of them.
+#: Shorter lines (in code points) are held to be one only where they are equal: two edits
+#: would make other words of them.
 LEAST = 24
 #: Lines that a task remembers in order not to pass them on again.
 SEEN = 1 << 18
@@ -221,18 +222,19 @@ def _verifier(threshold: int):
     return prepare, linked
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per line of ``least`` code points or more: doc_id, line_no (from 0),
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: int = THRESHOLD, short: bool = False) -> DataFrame:
+    """One row per line of ``least`` code points or more, and with ``short`` per line of
+    any length, of which the shorter ones are joined only where they are equal: doc_id, line_no (from 0),
     class_doc_id and class_line_no (the first line, by document and number, of those
     joined to it by chains of lines within ``threshold`` edits), n_links (different
     texts within ``threshold`` edits of this one), and keep (it is that first line).
 
-    Null and empty texts have no lines. Lines end at ``\\n`` alone. Rows that repeat a
+    Null texts have no lines, an empty one has one empty line. Lines end at ``\\n`` alone. Rows that repeat a
     document's id and text count as one: all of them keep what the first keeps. Lines of
     documents with a null id stand first.
     """
     bound_batches(docs.sparkSession)
-    lines = line_keys(docs, id_col, text_col, least)
+    lines = line_keys(docs, id_col, text_col, 0 if short else least)
     equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
     members = written(_candidates(docs, text_col, least, threshold), "line-members")
     sizes = equal.groupBy(F.col("k1").alias("id")).agg(F.max("size").alias("weight"))
@@ -273,4 +275,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"))
+    return line_classes(table(spark, sf_dir, "documents"), short=True)

@@ -119,6 +119,18 @@ def test_lines_of_odd_tables(spark):
     assert [r.keep for r in line_dedup.line_classes(twice).collect()] == [True, True]
 
 
+def test_short_lines_have_classes(spark, monkeypatch):
+    rows = [(1, "Les.\nOf, edti oner.\n"), (2, "Les.\nLes!"), (3, "Of, edti oner.\n\na line that is long enough to count"), (4, "a line that is long enough to coumt\né"), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {
+        (1, 0, 1, 0, 0, True), (1, 1, 1, 1, 0, True), (1, 2, 1, 2, 0, True), (2, 0, 1, 0, 0, False), (2, 1, 2, 1, 0, True),
+        (3, 0, 1, 1, 0, False), (3, 1, 1, 2, 0, False), (3, 2, 3, 2, 1, True), (4, 0, 3, 2, 1, False), (4, 1, 4, 1, 0, True), (5, 0, 1, 2, 0, False),
+    }
+    assert set(map(tuple, line_dedup.line_classes(docs, short=True).collect())) == want
+    monkeypatch.setattr(line_dedup, "table", lambda *_: docs)
+    assert set(map(tuple, line_dedup.op3_line_dedup(spark, "").collect())) == want
+
+
 def grams(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))) if w else None
