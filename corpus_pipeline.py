@@ -24,7 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one, exactly or within two edits;
-    documents of nothing but such lines go."""
+    documents with no word in the other lines go."""
     return _counted(line_dedup.drop_repeated_lines(docs))
 
 

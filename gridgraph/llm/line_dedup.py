@@ -29,6 +29,8 @@ THRESHOLD = 2
 #: Shorter lines (in code points) are held to be one only where they are equal: two edits
 #: would make other words of them.
 LEAST = 24
+#: A byte of a word, as ``common.words`` has them.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Lines that a task remembers in order not to pass them on again.
 SEEN = 1 << 18
 
@@ -262,15 +264,19 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without lines that repeat an earlier one, exactly or nearly. A document
-    that loses all of its lines goes; one that loses none stays as it is."""
-    gone = line_classes(docs, id_col, text_col, **options).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    """``docs`` without lines that repeat an earlier one: short ones exactly, others also
+    nearly. Blank lines stay between the others. A document goes that loses lines and has
+    no word in those left; one that loses none stays as it is."""
+    gone = line_classes(docs, id_col, text_col, **{"short": True} | options).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     own, lost = fresh(docs, "own_id"), fresh(docs, "lost")
     gone = gone.withColumnRenamed("doc_id", own).withColumnRenamed("gone", lost)
     joined = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]), "left")
-    kept = F.filter(F.split(_text(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost, i))
-    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    left = F.col(lost).isNull() | (F.size(kept) > 0)
+    all_lines = F.split(_text(text_col), "\n", -1)
+    kept = F.filter(all_lines, lambda x, i: ~x.rlike(r"\S") | ~F.array_contains(lost, i))
+    # Repeats of blank lines alone are no loss.
+    whole = F.col(lost).isNull() | (F.size(kept) == F.size(all_lines))
+    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    left = whole | F.exists(kept, lambda x: x.rlike(_WORD))
     return joined.filter(left).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -131,6 +131,14 @@ def test_short_lines_have_classes(spark, monkeypatch):
     assert set(map(tuple, line_dedup.op3_line_dedup(spark, "").collect())) == want
 
 
+def test_copies_leave_no_stubs(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, f"Haanth.\n\n{line}\n"), (2, f"Haanth.\n\n{line}\n"), (3, f"{line}\n"), (4, "Haanth."), (5, f"Haanth.\n\nnew\n{line}"), (6, f"{line}\n--"), (7, "\n"), (8, f"{line} and more\n\nown words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {1: rows[0][1], 5: "\nnew", 7: "\n", 8: rows[7][1]}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == want
+
+
 def grams(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))) if w else None
