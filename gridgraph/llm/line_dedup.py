@@ -119,10 +119,10 @@ def _text(column: str):
 
 
 def line_keys(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no (from 0), k1, k2, size: the lines that take part, with two hashes that
-    together stand for their content, and size."""
-    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(F.split(_text(text_col), "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= least).select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(3), "line").alias("k2"), F.length("line").cast("bigint").alias("size"))
+    """doc_id, t1 (a hash of the text), line_no (from 0), k1, k2, size: the lines that take
+    part, with two hashes that together stand for their content, and size."""
+    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.posexplode(F.split(_text(text_col), "\n", -1)).alias("line_no", "line"))
+    return lines.filter(F.length("line") >= least).select("doc_id", "t1", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(3), "line").alias("k2"), F.length("line").cast("bigint").alias("size"))
 
 
 def _candidates(docs: DataFrame, text_col: str, least: int, threshold: int) -> DataFrame:
@@ -233,18 +233,22 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts have no lines, an empty one has one empty line. Lines end at ``\\n`` alone. Rows that repeat a
     document's id and text count as one: all of them keep what the first keeps. Lines of
-    documents with a null id stand first.
+    documents with a null id stand first, and documents that share an id by their text.
     """
+    return _told(docs, id_col, text_col, least, threshold, short).drop("t1")
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, threshold: int = THRESHOLD, short: bool = False) -> DataFrame:
+    """``line_classes`` with t1, which tells documents that share an id from one another."""
     bound_batches(docs.sparkSession)
     lines = line_keys(docs, id_col, text_col, 0 if short else least)
-    equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
+    equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
     members = written(_candidates(docs, text_col, least, threshold), "line-members")
     sizes = equal.groupBy(F.col("k1").alias("id")).agg(F.max("size").alias("weight"))
     met = shared_buckets(members.join(sizes, "id").select("bucket", "id", "weight"))
-    asked = equal.join(met.withColumnRenamed("id", "k1"), "k1").select("first.doc_id", "first.line_no", "k1", "k2", "buckets")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(_text(text_col), "\n", -1).alias("t"))
-    # Of documents that share an id, the one that has the line is meant.
-    found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"])).select("k1", "k2", "buckets", F.get("t", "line_no").alias("line"))
+    asked = equal.join(met.withColumnRenamed("id", "k1"), "k1").select("first.doc_id", "first.t1", "first.line_no", "k1", "k2", "buckets")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.split(_text(text_col), "\n", -1).alias("t"))
+    found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["t1"] == texts["t1"])).select("k1", "k2", "buckets", F.get("t", "line_no").alias("line"))
     found = found.filter((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(3), "line") == F.col("k2")))
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
     prepare, linked = _verifier(threshold)
@@ -257,20 +261,20 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Written, so that the join below has an exchange on either side: then the key of a
     # line that most documents have can be split.
     told = written(told, "line-classes")
-    out = lines.drop("size").join(told, ["k1", "k2"]).select(
-        "doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links"
-    )
-    return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
+    return lines.drop("size").join(told, ["k1", "k2"]).select(
+        "doc_id", "t1", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links",
+        (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("t1") == F.col("class.t1")) & (F.col("line_no") == F.col("class.line_no"))).alias("keep"),
+    )
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without lines that repeat an earlier one: short ones exactly, others also
     nearly. Blank lines stay between the others. A document goes that loses lines and has
     no word in those left; one that loses none stays as it is."""
-    gone = line_classes(docs, id_col, text_col, **{"short": True} | options).filter("not keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    own, lost = fresh(docs, "own_id"), fresh(docs, "lost")
-    gone = gone.withColumnRenamed("doc_id", own).withColumnRenamed("gone", lost)
-    joined = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]), "left")
+    gone = _told(docs, id_col, text_col, **{"short": True} | options).filter("not keep").groupBy("doc_id", "t1").agg(F.collect_set("line_no").alias("gone"))
+    own, hashed, lost = fresh(docs, "own_id"), fresh(docs, "own_hash"), fresh(docs, "lost")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("t1").alias(hashed), F.col("gone").alias(lost))
+    joined = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]) & (F.xxhash64(docs[text_col].cast("string")) == gone[hashed]), "left")
     all_lines = F.split(_text(text_col), "\n", -1)
     kept = F.filter(all_lines, lambda x, i: ~x.rlike(r"\S") | ~F.array_contains(lost, i))
     # Repeats of blank lines alone are no loss.

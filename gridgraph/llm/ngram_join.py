@@ -92,24 +92,26 @@ def set_key(grams: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2 (null without words), size (n-grams), bands (array of band hashes)."""
-    schema = "doc_id bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>"
+    """doc_id, t1 (a hash of the text), k1, k2 (null without words), size (n-grams), bands
+    (array of band hashes)."""
+    schema = "doc_id bigint, t1 bigint, k1 bigint, k2 bigint, size bigint, bands array<bigint>"
     signer = Signer(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             keys, signs, sizes = [], [], []
-            for text in as_bytes(batch.column(1)):
+            for text in as_bytes(batch.column(2)):
                 grams = shingles(text, hashes, n)
                 sizes.append(len(grams))
                 keys.append(_signed(set_key(grams)) if len(grams) else (None, None))
                 signs.append(signer(grams).view(np.int64) if len(grams) else np.zeros(0, np.int64))
             offsets = np.append(0, np.cumsum([len(s) for s in signs])).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), made], names=["doc_id", "k1", "k2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), made], names=["doc_id", "t1", "k1", "k2", "size", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("t")).mapInArrow(run, schema)
 
 
 def _signed(pair: tuple[int, int]) -> tuple[int, int]:
@@ -160,6 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links 0, n_copies 1. A document with a null id takes part and has the least id of
     the others as class_id (null, if all are null). Repeated rows each get a row.
     """
+    return _told(docs, id_col, text_col, n, threshold, recall, hashes).drop("t1")
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """The rows of ``near_duplicates``, and t1, the hash of the text."""
     bound_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall, hashes)
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
@@ -178,8 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written, so that the join below has an exchange on either side: then a key that a
     # third of all documents share can be split.
     told = written(told, "set-classes")
-    alone = signed.filter("k1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    return signed.filter("k1 is not null").select("doc_id", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies").unionAll(alone)
+    alone = signed.filter("k1 is null").select("doc_id", "t1", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
+    return signed.filter("k1 is not null").select("doc_id", "t1", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "t1", "class_id", "n_links", "n_copies").unionAll(alone)
 
 
 def _of_key(rows: DataFrame, n: int) -> DataFrame:
@@ -200,9 +207,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each class: that of the least id. Of rows that
     repeat this id, all stay that have it; rows with a null id stay only in classes
     where every id is null."""
-    told = near_duplicates(docs, id_col, text_col, **options)
-    gone = told.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(fresh(docs, "gone_id"))).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[gone.columns[0]]), "left_anti")
+    own, hashed = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    told = _told(docs, id_col, text_col, **options)
+    # An id alone does not tell rows with null or repeated ids from one another.
+    gone = told.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(own), F.col("t1").alias(hashed)).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]) & (F.xxhash64(docs[text_col].cast("string")) == gone[hashed]), "left_anti")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

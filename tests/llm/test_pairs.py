@@ -191,6 +191,19 @@ def test_odd_documents(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [3, 3, 4]
 
 
+def test_shared_ids_lose_no_unique_text(spark):
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "unique words of no other"), (7, "a b c d e f"), (7, "also like no other text")], schema)
+    want = [("3", "a b c d e f"), ("7", "also like no other text"), ("None", "unique words of no other")]
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(docs).collect()) == want
+    line, other = "a line that is long enough to count", "words that stand in one document only"
+    docs = spark.createDataFrame([(3, line), (7, line + "\nmore of seven"), (7, other), (None, "first of a null id\nx"), (None, "y\nx"), (None, other[:9])], schema)
+    out = sorted((str(r.doc_id), r.text) for r in line_dedup.drop_repeated_lines(docs).collect())
+    assert out[:3] == [("3", line), ("7", "more of seven"), ("7", other)]
+    # The line that two documents with a null id share stays in one of them.
+    assert sorted(x for d, t in out[3:] for x in t.split("\n")) == sorted(["first of a null id", "x", "y", other[:9]])
+
+
 def test_band_choice():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.999)
     assert bands * rows <= ngram_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.999
