@@ -28,20 +28,25 @@ from gridgraph.llm.common import as_bytes, bound_batches, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_WITH_ENTITIES = frozenset("textarea title".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes canvas audio video object datalist meta link param source track area base rp svg math".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes canvas audio video object datalist meta link param source track area base rp annotation annotation-xml".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul xmp".split())
 BLOCK = CLOSES_P | frozenset("html body tr tbody thead tfoot caption optgroup option legend select textarea".split())
-MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr menu dir".split())
+MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr menu dir xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var del dfn data".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th".split())
 TABLE_PARTS = SECTIONS | CELLS | frozenset("caption colgroup col tr".split())
+FOREIGN = frozenset(("svg", "math"))
+SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+STACKED = frozenset("mfrac mroot mover munder munderover mtable mtr".split())
 BETWEEN = SECTIONS | frozenset("table tr".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_BRACE = re.compile(r"([^{}]*)([{}])")
+#: At-rules whose inner rules hold on any screen.
+_ON_SCREEN = re.compile(r"@layer\b.*|@supports\b(?!.*\bnot\b).*|@media\s+(?:.*,)?\s*(?:(?:only\s+)?(?:screen|all)|not\s+print)\s*(?:,.*)?", re.DOTALL)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Deeper elements join the deepest allowed one, as browsers do.
 DEPTH = 400
@@ -89,6 +94,8 @@ class Builder:
                 close = len(page) if close < 0 else close
                 if name == "style":
                     self.sheets.append(page[at:close])
+                elif name == "xmp":
+                    self.place(page[at:close], False)
                 elif name in RAW_WITH_ENTITIES and close > at:
                     self.place(unescape(page[at:close]), False)
                 end = page.find(">", close)
@@ -131,6 +138,13 @@ class Builder:
             if tag == "body":
                 self.close(("head",), ())
             return
+        foreign = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag in FOREIGN or self.stack[k].tag == "foreignobject"), 0)
+        if tag in FOREIGN or (foreign and self.stack[foreign].tag in FOREIGN):
+            if raw.rstrip().endswith("/"):
+                self.place(Node(tag, _attributes(raw)), False)
+                return
+            if tag in CLOSES_P:
+                del self.stack[foreign:]  # ends the drawing or formula
         if tag in CLOSES_P:
             self.close(("p",), ("table", "td", "th", "caption", "button", "object", "template"))
             if self.stack[-1].tag == "head":
@@ -194,11 +208,25 @@ class Sheet:
         self.none: set[str] = set()
         self.invisible: set[str] = set()
         for sheet in sheets:
-            for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-                body = re.sub(r"\s", "", m[2].lower())
-                kind = self.none if "display:none" in body else self.invisible if "visibility:hidden" in body or "visibility:collapse" in body else None
-                if kind is not None:
-                    kind |= {s.strip() for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+            outer: list[bool] = []  # of the open braces, whether rules in them hold
+            head = ""
+            for m in _BRACE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
+                if m[2] == "{":
+                    head = m[1].rsplit(";", 1)[-1].strip()
+                    at_rule = head.startswith("@")
+                    outer.append(all(outer) and (not at_rule or _ON_SCREEN.fullmatch(head.lower()) is not None))
+                    continue
+                if outer:
+                    if all(outer) and head and not head.startswith("@"):
+                        self.rule(head, m[1])
+                    outer.pop()
+                head = ""
+
+    def rule(self, head: str, body: str) -> None:
+        body = re.sub(r"\s", "", body.lower())
+        kind = self.none if "display:none" in body else self.invisible if "visibility:hidden" in body or "visibility:collapse" in body else None
+        if kind is not None:
+            kind |= {s.strip() for s in head.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
 
     def within(self, kind: set[str], node: Node) -> bool:
         return bool(kind) and (node.tag in kind or f"#{node.attrs.get('id')}" in kind or any(f".{c}" in kind for c in node.attrs.get("class", "").split()))
@@ -288,6 +316,14 @@ class Renderer:
             elif tag == "input":
                 if seen and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     flow.run.append(child.attrs.get("value", ""))
+            elif tag == "svg":
+                self.drawing(flow, child, seen)
+            elif tag in STACKED:
+                for part in child.children:
+                    holder = Node("mrow", {})
+                    holder.children.append(part)
+                    self.into(flow, holder, seen)
+                    flow.run.append(" ")
             elif tag == "table":
                 flow.flush()
                 flow.block(self.table(child, seen), True)
@@ -296,13 +332,26 @@ class Renderer:
                 flow.block(self.items(child, seen), node.tag != "li")
             elif tag in BLOCK:
                 flow.flush()
-                inner = self.lines(child, flow.pre or tag in ("pre", "textarea"), seen)
+                inner = self.lines(child, flow.pre or tag in ("pre", "textarea", "xmp"), seen)
                 if tag in ("blockquote", "dd"):
                     inner = [f"  {x}" if x else x for x in inner]
                 flow.block(inner, tag in MARGIN)
             else:
                 self.into(flow, child, seen)
 
+    def drawing(self, flow: Flow, node: Node, shown: bool) -> None:
+        """The labels of an SVG drawing, with blanks between them."""
+        for child in node.children:
+            if isinstance(child, str) or child.tag in SVG_UNSEEN or self.unseen(child) or child.attrs.get("display") == "none":
+                continue
+            seen = self.shown(child, shown)
+            if child.tag in ("text", "foreignobject"):
+                flow.run.append(" ")
+                self.into(flow, child, seen)
+                flow.run.append(" ")
+            else:
+                self.drawing(flow, child, seen)
+
     def items(self, node: Node, shown: bool) -> list[str]:
         flow = Flow()
         start = node.attrs.get("start", "")

@@ -188,3 +188,15 @@ def test_chat(spark):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(replies)) and r.loss_sha256 == sha256(replies.encode()).hexdigest()
         assert r.turns_sha256 == sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
     assert chat.read_back(chat.expand(df.limit(0))).isEmpty()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("a <math><mfrac><mi>x</mi><mn>2</mn></mfrac><mo>=</mo><mi>y</mi><annotation>t</annotation></math> b", "a x 2 =y b"),
+    ("a <svg><title>t</title><defs/><path d='M0'/><text>one <tspan>label</tspan></text><text>two</text>loose</svg> b", "a one label two b"),
+    ("<svg><g><text>l</text><p>broken out</svg>", "l\n\nbroken out"),
+    ("<p>a<xmp><b>x</b>\n  &amp;</xmp>c", "a\n\n<b>x</b>\n  &amp;\n\nc"),
+    ("<style>@media print{.n{display:none}} @media (max-width:9px){.n{display:none}} @import 'x'; .g{display:none}</style><p class=n>seen</p><p class=g>gone</p>", "seen"),
+    ("<style>@media screen{.n{display:none}} @media print, screen {.m{display:none}}</style><p class=n>gone</p><p class=m>gone</p><p>seen", "seen"),
+])
+def test_formulas_drawings_and_sheets(page, text):
+    assert html_text.render(page) == text
