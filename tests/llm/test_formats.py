@@ -1,6 +1,9 @@
 """Licence scans, top-k search, HTML, WARC and chat formats."""
 
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -121,6 +124,83 @@ def test_html_keeps_all_visible_words(spark):
     assert html_text.extract(pages.limit(0)).isEmpty()
 
 
+def test_html_of_any_depth_and_size():
+    began = time.process_time()
+    assert html_text.render("<div>" * 1000 + "<p hidden>SECRET</p>seen") == "seen"
+    assert html_text.render("<ul>" * 5000 + "x").strip() == "x" and html_text.render("<ul><li>" * 5000 + "x").endswith("x")
+    assert html_text.render("seen" + "<a " * 350_000) == "seen"
+    for part, n in (("<div>x", 30_000), ("<table><tr><td>x", 5000), ("<b class=c>x", 30_000), ("<p don't>x", 30_000), ("<svg><text>x", 20_000), ("<math><mfrac>x", 20_000), ("<p><table><div>x", 5000)):
+        assert html_text.render(part * n).count("x") == n
+    wide = html_text.render("<table><tr>" + "<td colspan=1000 rowspan=70000>x" * 2000 + "<tr><td>y" * 500)
+    assert wide.count("x") == 2000 and wide.count("y") == 500 and len(wide) < 2_000_000
+    for css in ("/* " * 200_000, "a " * 200_000, "@media " + " " * 200_000, "," * 200_000 + "{"):
+        assert html_text.render(f"<style>{css}</style>x") == "x"
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=70000>r<td>1<tr><td>2</table>", "r  1\n   2"), ("<table><tr><td rowspan=0>r<td>1<tr><td>2<tbody><tr><td>3<td>4</table>", "r  1\n   2\n3  4"),
+        ("<table><tr><td colspan=1000>a<td>b<tr><td>c<td>d</table>", "a     b\nc  d"), ("a <b unclosed", "a"), ('a <b x="unclosed>c', "a c"), ("<style>b{display:none}</style><b>no</b>yes", "yes"),
+        ("<span hidden><p>no</span>no</p>", ""), ("<b hidden>no</b>yes", "yes"), ("x<plaintext><b>", "x<b>"), ("<!-->a<!--->b<!-- -- >no--!>c<!x>d</>e<?f>g", "abcdeg"), ("<title>a</titles></title>b", "b"),
+        ("<blockquote>a<ul><li>b<p>c</ul></blockquote>d", "  a\n\n  - b\n\n    c\n\nd"), ("<ul>x<li>a<ul><li>b</ul>c</ul>", "x\n- a\n  - b\n  c"),
+    ],
+)
+def test_html_layout(page, text):
+    assert html_text.render(page) == text
+
+
+class Visible(HTMLParser):
+    """Words outside hidden elements, of pages whose tags are all closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "hr", "img"):
+            given = dict(attrs)
+            self.hidden.append("hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "") or tag in ("script", "style", "head", "title", "noscript", "template"))
+
+    def handle_endtag(self, tag):
+        if tag not in ("br", "hr", "img"):
+            self.hidden.pop()
+
+    def handle_data(self, data):
+        if not any(self.hidden):
+            self.words += data.split()
+
+
+def test_html_against_another_parser():
+    rng = random.Random(7)
+
+    def some(depth):
+        out = f" w{rng.randrange(10**6)} "
+        for _ in range(rng.randint(0, 4) if depth else 0):
+            tag = rng.choice(["div", "section", "span", "b", "blockquote", "ul", "ol", "table", "p", "script", "em", "pre", "template", "h2"])
+            attrs = rng.choice(["", "", "", " hidden", ' style="display: none"', " title='a > b'", ' data-x="<p>"'])
+            if tag in ("ul", "ol"):
+                inner = "".join(f"<li>{some(depth - 1)}</li>" for _ in range(3))
+            elif tag == "table":
+                inner = "<tbody>" + "".join("<tr>" + "".join(f"<td>{some(depth - 2)}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</tbody>" if depth > 1 else ""
+            elif tag in ("p", "script", "pre", "h2", "span", "b", "em"):
+                inner = f" w{rng.randrange(10**6)} "
+            else:
+                inner = some(depth - 1)
+            out += f"<{tag}{attrs}>{inner}</{tag}> w{rng.randrange(10**6)} <br>"
+        return out
+
+    for _ in range(150):
+        page = f"<html><head><title>t</title></head><body>{some(4)}</body></html>"
+        told = Visible()
+        told.feed(page)
+        found = re.findall(r"w\d+", html_text.render(page))
+        assert sorted(found) == sorted(told.words), page
+        if "<td" not in page:
+            assert found == told.words, page
+
+
 def test_warc_framing():
     rng = random.Random(2)
     for n in (0, 1, 100, 9000, 70000):
