@@ -41,45 +41,48 @@ def vectors(n=90, size=8):
     return rows
 
 
-@pytest.mark.parametrize("step", [4, 256])
-def test_top_k(spark, monkeypatch, step):
+@pytest.mark.parametrize(("step", "block"), [(2, 4096), (32, 64), (3, 5)])
+def test_top_k(spark, monkeypatch, step, block):
     monkeypatch.setattr(pivot_search, "STEP", step)
-    monkeypatch.setattr(pivot_search, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(pivot_search, "BLOCK", block)
+    monkeypatch.setattr(pivot_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(pivot_search, "BOUNDED", 2 if block == 64 else 1024)
     rows = vectors()
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int").repartition(3)
-    got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=4).collect()))
-    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in whole:
-        if i % 20 == 0:
-            asked[i] = min(asked.get(i, v), v)
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score int, row string").repartition(3)
+    got = sorted((tuple(r) for r in pivot_search.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=4).collect()), key=str)
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for i, q in asked.items():
-        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i and len(v) == len(q))[:5]
-        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
-    assert got == sorted(want)
+    for n, (i, q) in enumerate(whole):
+        if i is not None and i % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for m, (j, v) in enumerate(whole) if m != n and len(v) == len(q))[:5]
+            want += [(i, k + 1, None if null else j, -s) for k, (s, null, j) in enumerate(scored)]
+    assert got == sorted(want, key=str) and any(r[2] is None for r in got)
     assert pivot_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).isEmpty()
+    assert pivot_search.top_k(df, F.lit(None).cast("boolean")).isEmpty()
+    with pytest.raises(Exception, match="too large"):
+        pivot_search.top_k(df.withColumn("embedding", F.array(F.lit(1e300))), F.lit(True)).collect()
 
 
 def test_elimination_stops_early_and_stays_exact():
     rng = np.random.default_rng(6)
     c = np.concatenate([rng.integers(-3, 4, (2000, 16)), rng.integers(60, 66, (50, 16))]).astype(float)
-    q, pivots = c[-1], c[::300]
+    pivots = pivot_search.far_apart(c[::3].astype(int).tolist(), 6)[16]
+    assert len(pivots) == 6 and (pivots[0] > 50).all() and (np.abs(pivots[1]) < 4).all()
     far = lambda x: np.sqrt(((pivots - x) ** 2).sum(axis=1))
-    looked = []
-
-    class Seen(np.ndarray):
-        def __getitem__(self, at):
-            out = np.asarray(super().__getitem__(at))
-            if isinstance(at, np.ndarray):
-                looked.append(len(out))
-            return out
-
-    ids = np.arange(len(c))
-    got = pivot_search.best_of_block(q, far(q), c.view(Seen), np.array([far(x) for x in c]), ids, (c * c).sum(axis=1), len(c) - 1, 10)
+    q, ids, norms, c_far = c[-1], np.arange(len(c)), (c * c).sum(axis=1), np.array([far(x) for x in c])
     scores = c @ q
     scores[-1] = -np.inf
-    assert got[0].tolist() == np.lexsort((ids, -scores))[:10].tolist() and sum(looked) < 600
+    want = np.lexsort((ids, -scores))[:10]
+    found, told, n = pivot_search.best_of_block(q, far(q), norms[-1], c, c_far, norms, ids, 10, -np.inf, len(c) - 1)
+    order = np.lexsort((found, -told))
+    assert found[order].tolist() == want.tolist() and (told[order] == scores[want]).all() and n < 200
+    # With a threshold from elsewhere, what can't reach it is not evaluated at all.
+    assert pivot_search.best_of_block(q, far(q), norms[-1], c[:2000], c_far[:2000], norms[:2000], ids, 10, scores[want[-1]])[2] == 0
+    # A block's ranges bound all that is in it.
+    low, high = c_far[:2000].min(axis=0), c_far[:2000].max(axis=0)
+    gap = np.maximum(low - far(q), far(q) - high).max()
+    bound = pivot_search.upper_bound(norms[-1], norms[:2000].max()[None], gap[None], high.max())[0]
+    assert scores[:2000].max() <= bound < scores[want[-1]]
 
 
 PAGES = [
