@@ -33,6 +33,40 @@ def test_license_scan(spark):
     assert license_scan.scan(files.limit(0), "path", "directory", "text", F.col("lic")).isEmpty()
 
 
+def wrapped(text, mark, size=60):
+    lines, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > size:
+            lines.append(line)
+            line = ""
+        line += f" {w}"
+    return "\n".join(mark + x for x in [*lines, line])
+
+
+def test_license_units(spark):
+    """Headers wrapped over comment lines, whole licences, null and repeated ids, ties."""
+    texts = dict(enumerate(t for _, t in license_scan.TEMPLATES))
+    mit, gpl, bsd = texts[4], texts[9], texts[13]
+    assert len(texts[5].split()) > 150 and "2" in gpl
+    code = "import os\n\ndef f(x):\n    return x + one\n"
+    rows = [
+        (1, "a", f"#!/bin/sh\n#\n{wrapped(mit, '# ')}\n\n{code}", False), (2, "a", f"/*\n{wrapped(gpl, ' * ')}\n */\n{code}", False), (3, "b", "Copyright 2020 someone\n\n" + wrapped(texts[5], ""), True),
+        (4, "b/c", code * 2000, False), (5, "c", wrapped(bsd, "// "), True), (5, "c/d", code, None), (None, "e", f"-- {texts[3]}", False), (None, "e", code, False), (None, None, None, True), (6, "g/h", f"{texts[3]}\n\n{texts[3]}", False),
+    ]
+    rows += [(100 + i, "n", "the of and to is software in or with a any this for by that be not as are x%d return one" % i, False) for i in range(40)]
+    files = spark.createDataFrame(rows, "doc_id bigint, dir string, text string, lic boolean").repartition(3)
+    got = [tuple(r) for r in license_scan.scan(files, "doc_id", "dir", "text", F.col("lic")).collect()]
+    assert len(got) == len(rows)
+    own = {(r[0], r[1]): (r[2], r[3], r[4], r[7]) for r in got if r[0] is not None and r[0] < 100}
+    assert own[1, "a"][:2] == ("MIT", "header") and own[2, "a"][:2] == ("GPL-2.0-or-later", "header") and own[3, "b"][:2] == ("MIT", "header")
+    assert own[4, "b/c"] == ("MIT", "directory", None, "b") and own[5, "c"][:2] == ("BSD-3-Clause", "header") and own[5, "c/d"] == ("BSD-3-Clause", "directory", None, "c")
+    assert own[6, "g/h"] == ("MIT", "header", 0, None) and next(r for r in got if r[0] == 6)[5] == 1
+    assert sorted((r[1], r[2] or "", r[3]) for r in got if r[0] is None) == [("", "", "none"), ("e", "", "none"), ("e", "MIT", "header")]
+    # Two templates with the same words: the first licence by name.
+    two = license_scan.headers(files, "doc_id", "text", [("B", texts[3]), ("A", texts[3])])
+    assert {r.license for r in two.collect()} == {"A"}
+
+
 def vectors(n=90, size=8):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, size)]) for i in range(n)]
