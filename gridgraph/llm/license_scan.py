@@ -6,13 +6,16 @@ wrapped over lines, and the whole text, however long. A word weighs its count in
 times its inverse document frequency, counted over all words of all files. Vectors stay
 sparse: rows of (unit, term), joined with the frequencies and the templates' terms.
 
-A cosine of THRESHOLD needs one of a template's heaviest terms, those without which the
+A cosine of THRESHOLD needs one of a template's rarest terms, those without which the
 rest of its vector is shorter than THRESHOLD. Only files with such a term are taken
 apart, and there only windows with such a line; no other unit can reach the threshold.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,11 @@ def frequencies(files: DataFrame, text_col: str) -> DataFrame:
     return files.select(words.alias("words")).filter(F.size("words") > 0).select(F.explode(F.array_append("words", F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _array(words: list[str]) -> Column:
+    """Words as one constant, however many."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def _idf(df: Column, n: int) -> Column:
     return F.ln(F.lit(1.0 + n) / (df + F.lit(1.0))) + F.lit(1.0)
 
@@ -91,18 +99,22 @@ def headers(files: DataFrame, row_col: str, text_col: str, templates: list[tuple
     model = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
     of_template = model.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     # The templates are a given short list, and so are their terms.
-    weights = of_template.collect()
-    known = sorted({r.term for r in weights})
-    of_known = {r.term: r.df for r in seen.filter(F.col("term").isin([*known, ""])).collect()}
-    n = of_known.get("", 0)
-    idf = spark.createDataFrame([(t, of_known.get(t, 0)) for t in known], "term string, df bigint").select("term", _idf(F.col("df"), n).alias("idf"))
-    weights = of_template.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weights.join(norm, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
-    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template").orderBy("w", "term"))
-    fixed = weights.withColumn("needed", rest >= threshold * threshold - 1e-9).collect()
-    weights = spark.createDataFrame([(r.template, r.license, r.term, r.w) for r in fixed], "template int, license string, term string, w double")
-    needed = F.array(*map(F.lit, sorted({r.term for r in fixed if r.needed})))
+    of_template = sorted(tuple(r) for r in of_template.collect())
+    known = sorted({term for *_, term, _ in of_template})
+    df = {r.term: r.df for r in seen.filter(F.array_contains(_array([*known, ""]), F.col("term"))).collect()}
+    n = df.get("", 0)
+    fixed, needed = [], set()
+    for (template, name), rows in itertools.groupby(of_template, lambda r: r[:2]):
+        w = {term: tf * (math.log((1.0 + n) / (df.get(term, 0) + 1.0)) + 1.0) for *_, term, tf in rows}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        fixed += [(template, name, term, x / norm) for term, x in w.items()]
+        mass = 0.0
+        for term in sorted(w, key=lambda t: (-df.get(t, 0), t)):
+            mass += (w[term] / norm) ** 2
+            if mass >= threshold * threshold - 1e-9:
+                needed.add(term)
+    weights = spark.createDataFrame(fixed, "template int, license string, term string, w double")
+    needed = _array(sorted(needed))
 
     some = files.filter(F.arrays_overlap(terms(F.col("t")), needed)).select("row", F.xxhash64("t").alias("t1"), F.split("t", "\n", -1).alias("lines")).dropDuplicates(["row", "t1"])
     hot = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.arrays_overlap(terms(F.get("lines", i)), needed))
