@@ -8,21 +8,26 @@ they reach whatever store the path is in, and a lost task leaves no half-written
 
 Reading: the archive's files are parsed by Content-Length; segments are grouped by origin
 identifier, ordered by number, joined, and held against the total length and the payload
-digest; then the HTTP head is taken off and the chunked framing is decoded.
+digest; then the HTTP head is taken off and the chunked framing is decoded. Revisits are
+held against the response that they refer to. What is wrong with a record is told in its
+row; the others are read.
+
+A page's number stands in its record's identifier, ``<urn:x-page:NUMBER:DIGEST>``, and so
+in WARC-Refers-To.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import uuid
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, bound_batches, shared_path, table
+from gridgraph.llm.common import as_bytes, shared_path, sliced, table, written
 
 END = b"\r\n\r\n"
 SEGMENT_BYTES = 64 << 10
@@ -31,8 +36,10 @@ CHUNK_BYTES = 8 << 10
 REVISIT_BYTES = 100
 #: Records in a file: with SEGMENT_BYTES, this bounds the size of a file to be parsed.
 FILE_RECORDS = 256
-_HOLDS = "urn:uuid:"
-_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Payloads that have copies, up to which their digests are sent to all tasks (about 20 MB).
+KNOWN_COPIES = 200_000
+_SIZE = re.compile(rb"[0-9A-Fa-f]{1,15}")
+_PAGE = r"^<urn:x-page:(-?\d+):\w+>$"
 
 
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -45,7 +52,9 @@ def unchunked(framed: bytes) -> bytes:
     """The body of a chunked transfer; extensions and trailers are passed over."""
     out, at = [], 0
     while True:
-        line = framed.index(b"\r\n", at)
+        line = framed.find(b"\r\n", at)
+        if line < 0 or not _SIZE.fullmatch(framed[at:line].split(b";")[0].strip()):
+            raise ValueError("a chunk has no length")
         size = int(framed[at:line].split(b";")[0], 16)
         if not size:
             return b"".join(out)
@@ -63,12 +72,12 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 def records(url: str, payload: bytes, digest: str, refers_to: str | None, record_id: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     """The WARC records of one page."""
-    own = [("WARC-Record-ID", f"<{_HOLDS}{record_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
+    own = [("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
     whole = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [_record([("WARC-Type", "revisit"), *own, *whole, ("WARC-Profile", profile), ("WARC-Refers-To", f"<{_HOLDS}{refers_to}>")], block)]
+        return [_record([("WARC-Type", "revisit"), *own, *whole, ("WARC-Profile", profile), ("WARC-Refers-To", f"<{refers_to}>")], block)]
     message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [message[i : i + segment_bytes] for i in range(0, len(message), segment_bytes)]
     if len(parts) == 1:
@@ -77,32 +86,37 @@ def records(url: str, payload: bytes, digest: str, refers_to: str | None, record
     for n, part in enumerate(parts, 1):
         number = [("WARC-Segment-Number", n)]
         if n > 1:
-            number += [("WARC-Segment-Origin-ID", f"<{_HOLDS}{record_id}>")]
+            number += [("WARC-Segment-Origin-ID", f"<{record_id}>")]
         if n == len(parts):
             number += [("WARC-Segment-Total-Length", len(message))]
         if n == 1:
             out.append(_record([("WARC-Type", "response"), *own, *whole, *number], part))
         else:
-            again = uuid.uuid5(_NAMESPACE, f"{record_id}/{n}")
-            out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{_HOLDS}{again}>"), own[1], whole[0], *number], part))
+            out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id}:{n}>"), own[1], whole[0], *number], part))
     return out
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Head fields (names in lower case) and block of each record of an archive."""
+def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Head fields (names in lower case), block, and what is wrong (None: nothing) of each
+    record of an archive. Behind a broken record, reading goes on at the next one."""
     at = 0
     while at < len(archive):
-        end = archive.index(END, at)
-        version, *lines = archive[at:end].decode("utf-8", "replace").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record begins at byte {at}")
+        end = archive.find(END, at)
+        version, *lines = archive[at : end if end >= 0 else len(archive)].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        begin = end + 4
-        size = int(fields["content-length"])
-        if archive[begin + size : begin + size + 4] != END:
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield fields, archive[begin : begin + size]
-        at = begin + size + 4
+        length = fields.get("content-length", "")
+        if end < 0 or not version.startswith("WARC/") or not (length.isdecimal() and length.isascii()) or "warc-record-id" not in fields or "warc-type" not in fields:
+            wrong = f"no whole head of a record at byte {at}"
+        else:
+            begin, size = end + 4, int(length)
+            if archive[begin + size : begin + size + 4] == END:
+                yield fields, archive[begin : begin + size], None
+                at = begin + size + 4
+                continue
+            wrong = f"the record at byte {at} does not end where its length says"
+        yield fields if version.startswith("WARC/") else {}, b"", wrong
+        next_one = archive.find(END + b"WARC/", at)
+        at = next_one + 4 if next_one >= 0 else len(archive)
 
 
 def _clean(value: str | None) -> str:
@@ -110,13 +124,14 @@ def _clean(value: str | None) -> str:
     return "".join(c for c in value or "" if c not in "\r\n")
 
 
-def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int = REVISIT_BYTES, known_copies: int = KNOWN_COPIES) -> DataFrame:
     """page_id, url, payload, digest, refers_to (page id of the response with the same
     payload), with one row for each row of ``pages``.
 
     A null html is an empty payload. Of equal payloads of ``revisit_bytes`` or more, rows
     of the least page id are responses, the others refer to it; where all of them have a
-    null id, all are responses.
+    null id, all are responses. Ids are whole numbers. Payloads stay where they are as long
+    as no more than ``known_copies`` different ones have copies.
     """
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -125,24 +140,29 @@ def payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit
     long_ones = rows.filter(F.octet_length("payload") >= revisit_bytes)
     # A count and a least id for each digest: partial sums, however many copies there are.
     copies = long_ones.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1").select("digest", "first")
+    copies = written(copies, "warc-copies")
+    if copies.count() <= known_copies:
+        copies = F.broadcast(copies)
     other = (F.octet_length("payload") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(copies, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Writes rows of page_id, url, payload, digest and refers_to as WARC files."""
-    bound_batches(rows.sparkSession, 500)
+    """Writes rows of page_id, url, payload, digest and refers_to as WARC files. Rows that
+    repeat a page write its records again, under the same identifiers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 100):
             ids, urls, _, digests, refers = (c.to_pylist() for c in batch.columns)
             out: list[bytes] = []
+            size = 0
             for i, u, p, d, r in zip(ids, urls, as_bytes(batch.column(2)), digests, refers, strict=True):
                 made = records(_clean(u), p, d, None if r is None else _record_id(r, d), _record_id(i, d), segment_bytes)
-                out += [_page_field(x, i, r) for x in made]
-                if sum(map(len, out[-len(made):])) > 1 << 20:
+                out += made
+                size += sum(map(len, made))
+                if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out = []
+                    out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # The text writer puts a string's bytes down as they are, then the line separator.
@@ -151,19 +171,12 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
 
 def _record_id(page: int | None, digest: str) -> str:
-    return str(uuid.uuid5(_NAMESPACE, f"page/{page}/{digest}"))
+    return f"urn:x-page:{'' if page is None else page}:{digest}"
 
 
-def _page_field(record: bytes, page: int | None, refers_to: int | None) -> bytes:
-    """The page's own number as fields of the record; unknown fields may be ignored."""
-    extra = b"X-Page-ID: %b\r\n" % str("" if page is None else page).encode()
-    if refers_to is not None:
-        extra += b"X-Refers-To-Page: %d\r\n" % refers_to
-    return record.replace(b"\r\n", b"\r\n" + extra, 1)
-
-
-_PART = "origin string, number int, total bigint, page_id bigint, url string, record_type string, digest string, refers_to bigint, block binary"
-_WHOLE = "page_id bigint, url string, record_type string, digest string, refers_to bigint, payload_bytes bigint, payload binary"
+# A parsed record, whole (number 0: framing is decoded, block is the payload) or a segment.
+_PART = "record_id string, number int, total bigint, url string, record_type string, digest string, refers_id string, payload_bytes bigint, block binary, error string"
+_WHOLE = "record_id string, url string, record_type string, digest string, refers_id string, payload_bytes bigint, payload binary, error string"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 
 
@@ -174,31 +187,57 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value else None
+    return int(value) if value and value.isdecimal() and value.isascii() and len(value) < 19 else None
 
 
-def _whole(page: int | None, url: str | None, kind: str, digest: str | None, refers_to: int | None, message: bytes) -> tuple:
-    """The row of a whole record: its HTTP head taken off, its framing decoded, and its
-    digest held against the one that the record states."""
+def _decoded(kind: str | None, stated: str | None, message: bytes) -> tuple[str | None, int | None, bytes | None, str | None]:
+    """Digest, length, payload and what is wrong of a whole message: its HTTP head is taken
+    off, its framing decoded, and its digest held against the one that the record states.
+    A revisit has the digest and length that it states."""
     head, _, body = message.partition(END)
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
     if kind == "revisit":
-        return page, url, kind, digest, refers_to, int(fields["content-length"]), None
-    payload = unchunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
+        return stated, _number(fields.get("content-length")), None, None
+    try:
+        payload = unchunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
+    except ValueError as e:
+        return stated, None, None, str(e)
     found = hashlib.sha256(payload).hexdigest()
-    if digest is not None and found != digest:
-        raise ValueError(f"page {page}: the payload does not have the digest that its record states")
-    return page, url, kind, found, refers_to, len(payload), payload
+    if stated is not None and found != stated:
+        return found, len(payload), payload, "the payload does not have the digest that its record states"
+    return found, len(payload), payload, None
+
+
+def _inflated(content: bytes) -> tuple[bytes, str | None]:
+    """The plain archive of a file, with one gzip member or several, as far as it is whole."""
+    if not content.startswith(b"\x1f\x8b"):
+        return content, None
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            return b"".join(out), "the file is not whole gzip"
+        if not member.eof:
+            return b"".join(out), "the file is not whole gzip"
+        content = member.unused_data
+    return b"".join(out), None
 
 
 def _parsed(content: bytes) -> Iterator[tuple]:
-    plain = gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
-    for f, block in parse(plain):
-        yield (
-            f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), _number(f.get("warc-segment-total-length")),
-            _number(f.get("x-page-id")), f.get("warc-target-uri"), f["warc-type"], f.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            _number(f.get("x-refers-to-page")), block,
-        )
+    plain, broken = _inflated(content)
+    for f, block, wrong in parse(plain):
+        kind, stated, number = f.get("warc-type"), f.get("warc-payload-digest", "").removeprefix("sha256:") or None, _number(f.get("warc-segment-number")) or 0
+        own = f.get("warc-segment-origin-id") or f.get("warc-record-id")
+        head = (f.get("warc-target-uri"), kind, stated, f.get("warc-refers-to"))
+        if wrong or number:
+            yield own, 0 if wrong else number, _number(f.get("warc-segment-total-length")), *head, None, None if wrong else block, wrong
+        elif kind in ("response", "revisit", "resource"):
+            digest, size, payload, wrong = _decoded(kind, stated, block)
+            yield own, 0, None, head[0], kind, digest, head[3], size, payload, wrong
+    if broken:
+        yield None, 0, None, None, None, None, None, None, None, broken
 
 
 def join_segments(segments: list[dict]) -> list[bytes]:
@@ -217,36 +256,65 @@ def join_segments(segments: list[dict]) -> list[bytes]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files below a path, whole again: page_id, url,
-    record_type, digest, refers_to, payload_bytes, payload (null for revisits).
-
-    A record that ends early, a missing segment, a wrong total length, wrong framing or
-    a wrong digest ends the job with an error. Records of one segment are decoded where
-    they are read; only segments are shuffled, and a group is one record's segments.
+    """The responses, resources and revisits of the WARC files below a path, whole again:
+    record_id, page_id, url, record_type, digest, refers_to, payload_bytes, payload (null
+    for revisits) and error.
+
+    ``error`` is null where all is well. A record that ends early, a missing segment, a
+    wrong total length, wrong framing, a wrong digest, a file that is not whole gzip, and a
+    revisit whose response is not there or has another digest or length have a row that
+    says so; page_id, refers_to and others are null where they can't be told. Records of
+    other types are passed over. A file is one value in a task, so it has to be below 2 GB.
+
+    Each file is parsed once. Records of one segment are decoded where they are read; only
+    segments are shuffled, and a group is one record's segments. Revisits meet digests and
+    lengths of responses, not payloads.
     """
-    bound_batches(spark, 100)
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in as_bytes(batch.column(0)):
-                yield _batch([_whole(*x[3:]) for x in _parsed(content) if not x[1]], _WHOLE)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
             for content in as_bytes(batch.column(0)):
-                yield _batch([x for x in _parsed(content) if x[1]], _PART)
+                rows, size = [], 0
+                for row in _parsed(content):
+                    rows.append(row)
+                    size += len(row[8] or b"")
+                    if size > 8 << 20:
+                        yield _batch(rows, _PART)
+                        rows, size = [], 0
+                yield _batch(rows, _PART)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield _batch([_whole(r["page_id"], r["url"], r["record_type"], r["digest"], r["refers_to"], m) for r in rows for m in join_segments(r["segments"])], _WHOLE)
-
+        for batch in sliced(batches, 100):
+            out = []
+            for r in batch.to_pylist():
+                head = (r["record_id"], r["url"], r["record_type"])
+                try:
+                    for message in join_segments(r["segments"]):
+                        digest, size, payload, wrong = _decoded(r["record_type"], r["digest"], message)
+                        out.append((*head, digest, r["refers_id"], size, payload, wrong))
+                except ValueError as e:
+                    out.append((*head, r["digest"], r["refers_id"], None, None, str(e)))
+            yield _batch(out, _WHOLE)
+
+    parsed = written(files.mapInArrow(read, _PART), "warc-records")
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    groups = files.mapInArrow(parts, _PART).groupBy("origin").agg(
-        F.collect_list(F.struct("number", "total", "block")).alias("segments"), *[first(c) for c in ("page_id", "url", "record_type", "digest", "refers_to")]
+    groups = parsed.filter("number > 0").groupBy("record_id").agg(
+        F.collect_list(F.struct("number", "total", "block")).alias("segments"), *[first(c) for c in ("url", "record_type", "digest", "refers_id")]
+    )
+    names = [x.split()[0] for x in _WHOLE.split(", ")]
+    alone = parsed.filter("number = 0").withColumnRenamed("block", "payload").select(*names)
+    joined = written(groups.mapInArrow(join, _WHOLE), "warc-joined")
+    whole = alone.unionAll(joined)
+    there = whole.filter("record_type <> 'revisit' and error is null").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("digest").alias("its_digest"), F.max("payload_bytes").alias("its_bytes"))
+    revisits = whole.filter("record_type = 'revisit'").join(there, "refers_id", "left")
+    wrong = F.when(F.col("its_digest").isNull(), "the response that is referred to is not there").when(
+        ~F.col("its_digest").eqNullSafe(F.col("digest")) | ~F.col("its_bytes").eqNullSafe(F.col("payload_bytes")), "the response that is referred to has another digest or length"
     )
-    return files.mapInArrow(whole, _WHOLE).unionAll(groups.drop("origin").mapInArrow(join, _WHOLE))
+    revisits = revisits.withColumn("error", F.coalesce("error", wrong)).select(*names)
+    number = lambda c: F.regexp_extract(c, _PAGE, 1).try_cast("bigint")
+    every = whole.filter("record_type <> 'revisit' or record_type is null").select(*names).unionAll(revisits)
+    return every.select("record_id", number("record_id").alias("page_id"), "url", "record_type", "digest", number("refers_id").alias("refers_to"), "payload_bytes", "payload", "error")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +322,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(payloads(table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
     back = read_archives(spark, path)
-    return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "error")
 
 
 OP9_SQL = """
@@ -262,6 +330,6 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coale
 f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest HAVING count(*) > 1)
 SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
 """

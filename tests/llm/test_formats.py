@@ -1,5 +1,6 @@
 """Licence scans, top-k search, HTML, WARC and chat formats."""
 
+import gzip
 import random
 import re
 import time
@@ -251,8 +252,44 @@ def test_warc_framing():
     for wrong in (parts[:1], [parts[1], parts[0] | {"total": 6}], [*parts, parts[0] | {"block": b"xx"}]):
         with pytest.raises(ValueError):
             warc.join_segments(wrong)
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+    for wrong in (b"zz\r\n", b"3\r\nabc", b""):
+        with pytest.raises(ValueError):
+            warc.unchunked(wrong)
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\n"
+    told = list(warc.parse(head + b"abcd\r\n\r\n" + head + b"abc\r\n\r\n" + b"junk\r\n\r\n" + head + b"abc\r\n\r\n" + head[:20]))
+    assert [(b, e is None) for _, b, e in told] == [(b"", False), (b"abc", True), (b"", False), (b"abc", True), (b"", False)]
+
+
+def test_broken_archives_are_told(spark, tmp_path):
+    """What is wrong stands in a record's row; all others are read."""
+    from hashlib import sha256
+
+    def one(page, text, refers=None, segment=1 << 16):
+        digest = sha256(text).hexdigest()
+        return warc.records(f"http://x/{page}", text, digest, refers and warc._record_id(refers, digest), warc._record_id(page, digest), segment)
+
+    body = b"<p>text " * 40
+    whole = [*one(1, body), *one(2, body, 1), *one(3, body, 9), *one(4, b"short")]
+    cut_up = one(5, body, segment=100)
+    forged = one(6, b"other")[0].replace(b"other", b"OTHER")
+    unframed = one(7, b"seven")[0].replace(b"5\r\nseven", b"9\r\nseven")
+    foreign = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 9\r\n\r\nA: b\r\n\r\nx"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 0\r\n\r\n"
+    folder = tmp_path / "w"
+    folder.mkdir()
+    end = warc.END
+    (folder / "a.warc").write_bytes(end.join([info, *whole, *cut_up[:2], *cut_up[3:], forged, unframed, foreign, b"junk", *one(8, b"eight")]) + end)
+    zipped = gzip.compress(end.join(one(10, b"ten")) + end) + gzip.compress(end.join(one(11, body)) + end)
+    (folder / "b.warc.gz").write_bytes(zipped)
+    (folder / "c.warc.gz").write_bytes(gzip.compress(end.join(one(12, b"twelve")) + end) + gzip.compress(b"lost")[:12])
+    rows = warc.read_archives(spark, str(folder)).collect()
+    good = sorted((r.page_id, r.record_type, r.refers_to) for r in rows if r.error is None and r.page_id is not None)
+    assert good == [(1, "response", None), (2, "revisit", 1), (4, "response", None), (8, "response", None), (10, "response", None), (11, "response", None), (12, "response", None)]
+    wrong = {r.page_id: r.error for r in rows if r.error is not None}
+    assert wrong[3] == "the response that is referred to is not there" and "segments" in wrong[5] and "digest" in wrong[6] and "chunk" in wrong[7]
+    lost = sorted(r.error for r in rows if r.error is not None and r.page_id is None)
+    assert len(lost) == 3 and sum("no whole head" in e for e in lost) == 2 and lost[2] == "the file is not whole gzip"
+    assert [bytes(r.payload) for r in rows if r.record_id == "<urn:uuid:1>"] == [b"x"]
 
 
 @pytest.mark.parametrize("segment", [50, 1 << 16])
@@ -264,6 +301,9 @@ def test_warc_round_trip(spark, tmp_path, segment):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, digest int").repartition(4)
     warc.write_archives(warc.payloads(pages, "page_id", "url", "html"), str(tmp_path / "w"), segment)
     back = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    shuffled = warc.payloads(pages, "page_id", "url", "html", known_copies=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, warc.payloads(pages, "page_id", "url", "html").collect()))
+    assert all(r.error is None for r in back)
     least = {}
     for i, _, h in rows:
         if h is not None and len(h.encode()) >= 100 and i is not None:
