@@ -12,7 +12,8 @@ ends every match, so runs of such words are one 0; and a run of vocabulary words
 shorter than the shortest phrase cannot hold one, so it is left out.
 
 No row leaves its partition: the plan has no shuffle. The benchmark is read in blocks
-of at most ``block_bytes`` of text, one pass over the documents for each.
+of about ``block_bytes`` of text, one pass over the documents for each; where there are
+several, the documents are written between the passes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import _TO_WORDS, as_bytes, bound_batches, fresh, table, words
+from gridgraph.llm.common import _TO_WORDS, as_bytes, fresh, sliced, table, words, written
 
 WINDOW = 13
 SAMPLE = 8
@@ -235,14 +236,15 @@ class Shard:
 _SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """The benchmark in blocks of about ``block_bytes``; a block is all that the driver
-    or a task ever holds of it."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[str, bytes | None]], bool]]:
+    """The benchmark in blocks of about ``block_bytes``, one at a time, each with whether
+    it is the last; a block is all that the driver or a task ever holds of it."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("binary").alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = size // block_bytes + 1
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, bytes(r.t) if r.t is not None else None) for r in rows.filter(part == k).toLocalIterator()] for k in range(n)]
+    for k in range(n):
+        yield [(r.i, bytes(r.t) if r.t is not None else None) for r in rows.filter(part == k).toLocalIterator()], k == n - 1
 
 
 def find_spans(
@@ -258,14 +260,14 @@ def find_spans(
     count once. Repeated rows each get their own result.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out = docs.select(*rest, F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {_SPAN})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for block, last in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
+        del block
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 2000):
                 texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
                 results, shard = [], Shard(shared.value)
                 for text in texts:
@@ -286,6 +288,10 @@ def find_spans(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], names=batch.schema.names)
 
         out = out.mapInArrow(search, out.schema)
+        if not last:
+            # Written, so that no two blocks are in memory together.
+            out = written(out, "spans")
+            shared.destroy()
     return out
 
 
@@ -323,7 +329,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
     names = [f.name for f in schema.fields]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             at = batch.schema.get_field_index(text_col)
             spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
             n_words = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
