@@ -13,14 +13,15 @@ bounded sample of labelled rows, prediction reads whole texts of all rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, bound_batches, fresh, table
+from gridgraph.llm.common import as_bytes, fresh, sliced, table
 
 #: Rows that the classifiers are fitted on, at most; languages have equal shares.
 SAMPLE_ROWS = 2400
@@ -30,6 +31,7 @@ BITS = 12
 CERTAIN = 0.6
 UNKNOWN = "und"
 _CHUNK = 1 << 20
+_SPREAD = 1 << 40
 
 #: ASCII that is no letter becomes a blank.
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -109,33 +111,43 @@ class Model:
         return best, 1 / like.sum(axis=1)
 
 
+def _chosen(rows: DataFrame, counts: dict[str, int], each: int) -> list[tuple[str, int]]:
+    """For each language, its ``each`` distinct texts of least hash, as (language, hash):
+    the same whatever the order and the number of copies of rows."""
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(_SPREAD, 1 + _SPREAD * 4 * each // n))])
+    some = rows.filter(F.pmod("h", F.lit(_SPREAD)) < share[F.col("l")]).select("l", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(_SPREAD)), "h"))
+    return [(r.l, r.h) for r in some.withColumn("r", rank).filter(F.col("r") <= each).collect()]
+
+
 def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``sample_rows`` rows with a language and a text with a letter,
-    chosen by a hash of the text. Their features are made where the rows are."""
-    bound_batches(labelled.sparkSession)
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    """Fits on at most ``sample_rows`` different texts with a language and a letter: those
+    of least hash, as many of each language, so that the sample is the same whatever the
+    order of rows. Their features are made where the rows are. Of more languages than
+    ``sample_rows``, the most frequent are learned."""
+    text = F.col(text_col).cast("string")
+    rows = labelled.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("l"), text.alias("t"), F.xxhash64(text).alias("h"))
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample_rows).collect()}
-    languages = sorted(counts)
-    if not languages:
+    if not counts:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0, np.int64))
-    each = max(1, sample_rows // len(languages))
-    spread = 1 << 40
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(spread, 1 + spread * each // counts[k]))])
-    chosen = rows.filter(F.pmod(F.xxhash64("t"), F.lit(spread)) < share[F.col("l")]).limit(2 * sample_rows)
+    each = max(1, sample_rows // len(counts))
+    keys = _chosen(rows, counts, each)
+    found = Counter(k[0] for k in keys)
+    # Where copies took the place of other texts, all texts are looked at.
+    few = {k: 1 for k, n in counts.items() if found[k] < each and 4 * each < n}
+    if few:
+        keys = [k for k in keys if k[0] not in few] + _chosen(rows, few, each)
+    wanted = labelled.sparkSession.createDataFrame(keys, "l string, h bigint")
+    # At most sample_rows keys, so they may go to every task.
+    texts = rows.join(F.broadcast(wanted), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             made = [(lang, x) for lang, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if (x := features(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1].tobytes() for m in made], pa.binary())], names=["l", "x"])
 
-    found = sorted(((r.l, bytes(r.x)) for r in chosen.mapInArrow(run, "l string, x binary").toLocalIterator()))
-    kept: list[tuple[str, bytes]] = []
-    taken: dict[str, int] = {}
-    for lang, x in found:
-        if taken.get(lang, 0) < each:
-            taken[lang] = taken.get(lang, 0) + 1
-            kept.append((lang, x))
-    languages = sorted(taken)
+    kept = sorted((r.l, bytes(r.x)) for r in texts.select("l", "t").mapInArrow(run, "l string, x binary").toLocalIterator())
+    languages = sorted({k[0] for k in kept})
     x = np.frombuffer(b"".join(k[1] for k in kept), np.float32).reshape(len(kept), 1 << BITS)
     return Model(languages, x, np.array([languages.index(k[0]) for k in kept], np.int64))
 
@@ -148,7 +160,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     ``und`` with score 0, and not ambiguous. Equal losses go to the first language in
     alphabetical order. Repeated rows each get their own result.
     """
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.select(*[c for c in docs.columns if c not in (lang_out, score_out, ambiguous_out)])
     text = fresh(rest, "text_read")
@@ -157,7 +168,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             langs, scores = [], []
             texts = as_bytes(batch.column(batch.num_columns - 1))
             for at in range(0, len(texts), 64):

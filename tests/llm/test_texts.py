@@ -1,6 +1,7 @@
 """Decontamination, language identification and tokens."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -124,6 +125,52 @@ def test_languages(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} & {900, 901, 902} == set()
 
 
+def test_the_sample_is_determined(spark):
+    """The same texts are learned whatever the order and number of copies of rows."""
+    rows = spoken(120)
+    more = [(1000 + k, rows[0][1], "aa") for k in range(400)] + [(2000 + k, rows[1][1], "bb") for k in range(300)]
+    schema = "doc_id bigint, text string, lang string"
+    a = spark.createDataFrame([*rows, *more], schema).repartition(5)
+    b = spark.createDataFrame([*more[::-1], *rows[::-1]], schema).repartition(2)
+    first, second = (language_id.fit(x, "text", "lang", 30) for x in (a, b))
+    assert first.languages == second.languages == ["aa", "bb", "cc"] and (first.weights == second.weights).all() and (first.trust == second.trust).all()
+    # Ten different texts of each language, however many copies one has.
+    chosen = language_id._chosen(a.select(F.col("lang").alias("l"), F.xxhash64("text").alias("h")), {"aa": 1, "bb": 1, "cc": 1}, 10)
+    assert len(set(chosen)) == 30 and {k: sum(c[0] == k for c in chosen) for k in ("aa", "bb", "cc")} == {"aa": 10, "bb": 10, "cc": 10}
+
+
+def test_decoding_by_plain_loops(spark):
+    """Features, margins and loss-weighted decoding again, one number at a time."""
+    rows = spoken(60)
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang", 45)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in spoken(90)], "doc_id bigint, text string")
+    for r in language_id.predict(docs, model).collect():
+        plain = (" " + r.text.lower() + " ").encode()
+        plain = bytes(c if c >= 0x80 or 97 <= c <= 122 else 32 for c in plain)
+        counts = {}
+        for i in range(len(plain) - 2):
+            a, b, c = plain[i : i + 3]
+            if b != 32:
+                h = (((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF) >> (32 - language_id.BITS)
+                counts[h] = counts.get(h, 0) + 1
+        total = sum(counts.values())
+        losses = []
+        for lang in range(3):
+            loss = 0.0
+            for bit in range(model.code.shape[1]):
+                margin = model.bias[bit] + sum(model.weights[h, bit] * math.sqrt(n / total) for h, n in counts.items())
+                loss += model.trust[lang, bit] * math.log1p(math.exp(-margin * model.code[lang, bit]))
+            losses.append(loss)
+        assert r.lang_pred == model.languages[losses.index(min(losses))]
+        share = 1 / sum(math.exp(-model.code.shape[1] * (x - min(losses))) for x in losses)
+        assert abs(share - r.score) < 1e-3
+    # Equal losses go to the first language by name.
+    tie = language_id.Model(["bb", "cc"], np.eye(2, 1 << language_id.BITS, dtype=np.float32), np.array([0, 1]))
+    tie.weights[:] = tie.bias[:] = 0
+    tie.trust[:] = 1
+    assert tie.predict(np.zeros((1, 1 << language_id.BITS), np.float32))[0].tolist() == [0]
+
+
 def test_odd_languages(spark):
     schema = "doc_id bigint, text string, lang string"
     empty = spark.createDataFrame([], schema)
