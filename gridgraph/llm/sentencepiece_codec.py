@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, bound_batches, table
+from gridgraph.llm.common import as_bytes, sliced, table
 
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -140,13 +140,13 @@ class Codec:
             k = n - 1 - last
             if len(piece) > len(longest[k]):
                 longest[k] = piece
-        open_positions = (1 << (n + 1)) - 1
+        failed = bytearray(n // 8 + 1)  # a bit for each position
         out: list[str] = []
         pairs, shorter, compatible = self.pairs, self.shorter, self.compatible
         at, piece = 0, longest[0]
         while True:
             end = at + len(piece)
-            if open_positions >> end & 1:
+            if not failed[end >> 3] >> (end & 7) & 1:
                 fits = not out or pairs.get((out[-1], piece))
                 if fits is None:
                     fits = compatible(out[-1], piece)
@@ -159,7 +159,7 @@ class Codec:
                     continue
             piece = shorter.get(piece)
             while piece is None:
-                open_positions &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 last = out.pop()
                 at -= len(last)
                 piece = shorter.get(last)
@@ -252,7 +252,6 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool =
     each get their own result. The model file is read by the driver.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(Codec(f.read()))
     made = (["ids"] if ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
@@ -263,7 +262,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             texts = as_bytes(batch.column(batch.num_columns - 1))
             all_ids, n, digests, decoded = [], [], [], []
             for t in texts:
