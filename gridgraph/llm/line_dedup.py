@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgraph.llm.bucket_join import classes, link, shared_buckets
-from gridgraph.llm.common import as_bytes, bound_batches, fresh, table, written
+from gridgraph.llm.common import as_bytes, fresh, sliced, table, written
 
 #: Edits within which lines count as one.
 THRESHOLD = 2
@@ -33,6 +33,8 @@ LEAST = 24
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Lines that a task remembers in order not to pass them on again.
 SEEN = 1 << 18
+#: Lines of a block that are compared with one another; lines are short.
+BLOCK = 2048
 
 
 def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -133,7 +135,7 @@ def _candidates(docs: DataFrame, text_col: str, least: int, threshold: int) -> D
         seen: set[int] = set()
         plans: dict[int, list] = {}
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             keys, ids = [], []
             for text in as_bytes(batch.column(0)):
                 for raw in text.split(b"\n") if text else ():
@@ -211,15 +213,28 @@ def _keys(keys: list[int], ids: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, ids)], names=["key", "id"])
 
 
+def bigram_parity(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: whether the number of its pairs of neighbouring characters
+    in each of 64 classes is odd. An edit changes four pairs at most, so lines within n
+    edits differ in 4 n bits at most."""
+    codes = np.frombuffer("".join([x + "\n" for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    following = np.append(codes[1:], np.uint32(10))
+    h = (codes * np.uint32(0x9E3779B1) ^ following * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(26)
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    bits = np.uint64(1) << h.astype(np.uint64)
+    bits[ends - 1] = 0  # the pair of two lines
+    return np.bitwise_xor.reduceat(bits, np.append(0, ends[:-1]))
+
+
 def _verifier(threshold: int):
-    def prepare(texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    def prepare(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         lines = [t.decode("utf-8", "replace") for t in texts]
-        return lines, np.array([len(x) for x in lines])
+        return lines, np.array([len(x) for x in lines]), bigram_parity(lines)
 
     def linked(ready: tuple, i: int, js: np.ndarray) -> list[int]:
-        lines, sizes = ready
-        near = js[np.abs(sizes[js] - sizes[i]) <= threshold].tolist()
-        return [j for j in near if within(lines[i], lines[j], threshold)]
+        lines, sizes, parity = ready
+        near = (np.abs(sizes[js] - sizes[i]) <= threshold) & (np.bitwise_count(parity[js] ^ parity[i]) <= 4 * threshold)
+        return [j for j in js[near].tolist() if within(lines[i], lines[j], threshold)]
 
     return prepare, linked
 
@@ -240,12 +255,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _told(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, threshold: int = THRESHOLD, short: bool = False) -> DataFrame:
     """``line_classes`` with t1, which tells documents that share an id from one another."""
-    bound_batches(docs.sparkSession)
     lines = line_keys(docs, id_col, text_col, 0 if short else least)
     equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
     members = written(_candidates(docs, text_col, least, threshold), "line-members")
     sizes = equal.groupBy(F.col("k1").alias("id")).agg(F.max("size").alias("weight"))
-    met = shared_buckets(members.join(sizes, "id").select("bucket", "id", "weight"))
+    met = shared_buckets(members.join(sizes, "id").select("bucket", "id", "weight"), BLOCK)
     asked = equal.join(met.withColumnRenamed("id", "k1"), "k1").select("first.doc_id", "first.t1", "first.line_no", "k1", "k2", "buckets")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.split(_text(text_col), "\n", -1).alias("t"))
     found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["t1"] == texts["t1"])).select("k1", "k2", "buckets", F.get("t", "line_no").alias("line"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgraph.llm.bucket_join import classes, link, shared_buckets
-from gridgraph.llm.common import as_bytes, bound_batches, fresh, table, words, written
+from gridgraph.llm.common import as_bytes, fresh, sliced, table, words, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions of a signature, at most.
@@ -30,12 +30,18 @@ _STEP = 4096
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
     """The longest bands (fewest chance meetings) of which enough fit into ``hashes`` to
-    meet the recall at the threshold."""
-    best = (hashes, 1)
+    meet the recall at the threshold. An error, if not even bands of one row do."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("a threshold is above 0 and at most 1, a recall between 0 and 1")
+    best = None
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= hashes:
-            best = (bands, rows)
+        bands = math.log1p(-recall) / math.log1p(-(threshold**rows)) if threshold**rows < 1 else 1
+        if bands * rows > hashes + 1:
+            break  # longer bands need more
+        if math.ceil(bands) * rows <= hashes:
+            best = (math.ceil(bands), rows)
+    if best is None:
+        raise ValueError(f"a recall of {recall} at {threshold} needs more than {hashes} hash functions")
     return best
 
 
@@ -99,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             keys, signs, sizes = [], [], []
             for text in as_bytes(batch.column(2)):
                 grams = shingles(text, hashes, n)
@@ -167,7 +173,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _told(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """The rows of ``near_duplicates``, and t1, the hash of the text."""
-    bound_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall, hashes)
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("weight"), F.min("bands").alias("bands"))
@@ -195,7 +200,7 @@ def _of_key(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             told = batch.column(0).to_pylist()
             same = [f"{a & (1 << 64) - 1:016X}{b & (1 << 64) - 1:016X}" == k for k, (a, b) in zip(told, (set_key(shingles(t, hashes, n)) for t in as_bytes(batch.column(2))), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))

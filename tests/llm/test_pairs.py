@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from gridgraph.llm import bucket_join, line_dedup, ngram_join
 from gridgraph.llm.common import words
@@ -85,9 +86,22 @@ def brute_lines(rows):
     return sorted((d, k, *least[top(x)], links[x], (d, k) == least[top(x)]) for d, k, x in found)
 
 
+def test_parity_keeps_near_lines():
+    rng = random.Random(1)
+    for _ in range(2000):
+        a = "".join(rng.choice("abé日") for _ in range(rng.randint(0, 30)))
+        b = list(a)
+        edits = rng.randint(0, 3)
+        for _ in range(edits):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        x, y, _ = line_dedup.bigram_parity([a, "".join(b), "other"])
+        assert int(x ^ y).bit_count() <= 4 * edits
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_line_classes(spark, monkeypatch, block):
-    monkeypatch.setattr(bucket_join.shared_buckets, "__defaults__", (block, bucket_join.WEIGHT))
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rows = line_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert sorted(map(tuple, line_dedup.line_classes(docs).collect())) == brute_lines(rows)
@@ -208,9 +222,29 @@ def test_band_choice():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.999)
     assert bands * rows <= ngram_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.999
     assert 1 - (1 - 0.8 ** (rows + 1)) ** (ngram_join.HASHES // (rows + 1)) < 0.999
+    for threshold in (0.1, 0.3, 0.5, 0.69, 0.8, 0.95, 1.0):
+        bands, rows = ngram_join.bands_and_rows(threshold, 0.99)
+        assert bands * rows <= ngram_join.HASHES and 1 - (1 - threshold**rows) ** bands >= 0.99
+    for wrong in ((0.7, 0.999, 4), (0, 0.9, 100), (1.1, 0.9, 100), (0.8, 1, 100)):
+        with pytest.raises(ValueError):
+            ngram_join.bands_and_rows(*wrong)
     assert words(b"A b-C\xc3\xa9 9") == [b"a", b"b", b"c\xc3\xa9", b"9"] and words(None) == []
 
 
+def test_measured_recall_at_the_threshold():
+    """Pairs of sets with a Jaccard similarity of 0.8 to 0.82 that share a band."""
+    rng = np.random.default_rng(4)
+    bands, rows = ngram_join.bands_and_rows()
+    sign = ngram_join.Signer(bands, rows)
+    met = 0
+    for _ in range(400):
+        both, own = int(rng.integers(200, 400)), 0
+        own = round(both * (1 / rng.uniform(0.8, 0.82) - 1) / 2)
+        x = rng.integers(0, 1 << 63, both + 2 * own, np.uint64)
+        met += bool((sign(x[: both + own]) == sign(np.concatenate([x[:both], x[both + own :]]))).any())
+    assert met >= 396
+
+
 def test_buckets_of_equal_members_count_once(spark):
     m = spark.createDataFrame([(b, i, 1) for b in (7, 8) for i in (1, 2, 3)] + [(9, 1, 1), (9, 2, 1), (10, 5, 1)], "bucket bigint, id bigint, weight bigint")
     got = {r.id: [(b.bucket, b.blocks) for b in r.buckets] for r in bucket_join.shared_buckets(m, block=2).collect()}
