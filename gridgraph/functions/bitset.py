@@ -104,13 +104,20 @@ def clear(words: Column | str) -> Column:
 
 
 def count(words: Column | str, start: int | Column, end: int | Column) -> Column:
-    """Set bits from start to end, both included; 0 if start > end."""
-    each = _ranged(_words(words), _long(start), _long(end), lambda w, m: F.bit_count(w.bitwiseAND(m)), lambda w: F.lit(0))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    """Set bits from start to end, both included; 0 if start > end. Only the words of the
+    range are looked at, and only the first and last of them are masked."""
+    w = _words(words)
+    start, end = F.greatest(_long(start), _long(0)), F.least(_long(end), F.size(w).cast(_LONG) * 64 - 1)
+    a, b = (F.call_function("div", x, _long(64)).cast("int") for x in (start, end))
+    first, last = F.pmod(start, F.lit(64)), F.pmod(end, F.lit(64))
+    one = F.bit_count(F.get(w, a).bitwiseAND(_mask(first, last)))
+    ends = F.bit_count(F.get(w, a).bitwiseAND(_mask(first, _long(63)))) + F.bit_count(F.get(w, b).bitwiseAND(_mask(_long(0), last)))
+    inner = F.aggregate(F.slice(w, a + 2, F.greatest(b - a - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.bit_count(x))
+    return F.when(start > end, 0).when(a == b, one).otherwise(ends + inner)
 
 
 def cardinality(words: Column | str) -> Column:
-    return F.aggregate(F.transform(_words(words), F.bit_count), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(_words(words), F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def positions(words: Column | str) -> Column:
@@ -126,10 +133,14 @@ def positions(words: Column | str) -> Column:
 
 def next_set_bit(words: Column | str, n: int | Column) -> Column:
     """The first set bit at or after n, -1 if there is none."""
-    w, n = _words(words), _long(n)
-    left = _ranged(w, n, F.size(w).cast(_LONG) * 64 - 1, lambda x, m: x.bitwiseAND(m), lambda x: _long(0))
-    first = F.element_at(F.filter(F.transform(left, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda s: s["x"] != 0), 1)
-    return F.when(F.exists(left, lambda x: x != 0), first["k"].cast(_LONG) * 64 + _trailing_zeros(first["x"])).otherwise(_long(-1))
+    w, n = _words(words), F.greatest(_long(n), _long(0))
+    at = F.call_function("div", n, _long(64)).cast("int")
+    here = F.coalesce(F.get(w, at).bitwiseAND(_mask(F.pmod(n, F.lit(64)), _long(63))), _long(0))
+    # How many words without bits stand behind the first: the place of the first with some.
+    later = F.slice(w, F.least(at + 2, F.size(w) + 1), F.greatest(F.size(w) - at - 1, F.lit(0)))
+    empty_words = F.array_position(F.transform(later, lambda x: x != 0), True).cast("int")
+    then = F.when(empty_words > 0, (at + empty_words).cast(_LONG) * 64 + _trailing_zeros(F.get(w, at + empty_words))).otherwise(_long(-1))
+    return F.when(here != 0, at.cast(_LONG) * 64 + _trailing_zeros(here)).otherwise(then)
 
 
 def _trailing_zeros(x: Column) -> Column:

@@ -7,6 +7,7 @@ levels, in order, are the tree. Structure only: attributes stand beside it in K2
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,33 +69,32 @@ def encode(edges: DataFrame, k: int, size: int, by: list[str] | None = None, lin
 
 def decode_bits(bits: str, k: int, size: int) -> list[tuple[int, int]]:
     """Cells (line, col) of a tree, in K2 order, level by level."""
-    k2, here, at = k * k, [0] if bits else [], 0
-    for _ in range(height_of(k, size)):
-        after = []
-        for prefix in here:
-            after += [prefix * k2 + j for j in range(k2) if bits[at + j] == "1"]
-            at += k2
-        here = after
-    return [_cell(z, k, height_of(k, size)) for z in here]
+    line, col = _cells(bits, k, size)
+    return list(zip(line.tolist(), col.tolist(), strict=True))
 
 
-def _cell(z: int, k: int, height: int) -> tuple[int, int]:
-    line = col = 0
-    for i in range(height):
-        z, digit = divmod(z, k * k)
-        line, col = line + digit // k * k**i, col + digit % k * k**i
+def _cells(bits: str, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and columns of a tree's cells: a level's nodes are read all at once."""
+    set_bits = np.frombuffer(bits.encode(), np.uint8) == ord("1")
+    line = col = np.zeros(1 if bits else 0, np.int64)
+    at = 0
+    for _ in range(height_of(k, size)):
+        node, child = np.nonzero(set_bits[at : at + len(line) * k * k].reshape(len(line), k * k))
+        at += len(line) * k * k
+        line, col = line[node] * k + child // k, col[node] * k + child % k
     return line, col
 
 
 def decode(trees: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per cell of each tree of ``encode``: the ``by`` columns, ``ordinal`` (from 0,
-    in K2 order), line and col. Decoding walks the bits in order, so it is a pandas UDF."""
+    in K2 order), line and col. Levels are read in order, so it is a pandas UDF. A tree is one
+    value: a large matrix is encoded and decoded ``by`` blocks."""
     by = by or []
     kind = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("col", T.LongType())]))
 
     @F.pandas_udf(kind)
     def cells(bits: pd.Series, k: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([[{"line": a, "col": b} for a, b in decode_bits(x, kk, s)] for x, kk, s in zip(bits, k, size, strict=True)])
+        return pd.Series([[{"line": a, "col": b} for a, b in decode_bits(x, kk, s)] for x, kk, s in zip(bits, k, size, strict=True)], dtype=object)
 
     return trees.select(*by, F.posexplode(cells("bits", "k", "size")).alias("ordinal", "cell")).select(*by, "ordinal", "cell.line", "cell.col")
 

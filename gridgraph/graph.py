@@ -36,7 +36,8 @@ class PropertyGraph:
     # Construction (S2-S9)
     @staticmethod
     def of(vertices: DataFrame, edges: DataFrame, default_attr: object = None, merge_vertices: str | Callable = "min", merge_edges: str | Callable = "min") -> PropertyGraph:
-        """A graph of rows that may repeat ids or pairs and lack end points."""
+        """A graph of rows that may repeat ids or pairs and lack end points. Rows with a
+        null id or end are left out."""
         e = builders.distinct_edges(edges, merge_edges)
         v = builders.distinct_vertices(vertices, merge_vertices)
         return PropertyGraph(builders.with_endpoints(v, e, default_attr), e)
@@ -50,9 +51,9 @@ class PropertyGraph:
     def from_edge_tuples(pairs: DataFrame, default_attr: object = None, count_duplicates: bool = False) -> PropertyGraph:
         """A graph of ``(src, dst)`` rows; the edge attribute is 1, or how often a pair stands."""
         if count_duplicates:
-            e = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("int").alias("attr"))
+            e = builders.whole(pairs).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("int").alias("attr"))
         else:
-            e = pairs.select("src", "dst").distinct().withColumn("attr", F.lit(1))
+            e = builders.whole(pairs).select("src", "dst").distinct().withColumn("attr", F.lit(1))
         return PropertyGraph(builders.vertices_of(e, default_attr), e)
 
     def routing_table(self, partition: Column | None = None) -> DataFrame:
@@ -128,6 +129,7 @@ class PropertyGraph:
 
     # Messages and aggregates (A1-A13)
     aggregate_messages = messages.aggregate_messages
+    aggregate_messages_in_python = messages.aggregate_messages_in_python
     group_edges = neighbours.group_edges
     convert_to_canonical_edges = neighbours.convert_to_canonical_edges
     in_degrees = neighbours.in_degrees

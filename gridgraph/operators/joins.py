@@ -9,6 +9,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridgraph.operators.expressions import merged
+
 if TYPE_CHECKING:
     from gridgraph.graph import PropertyGraph
 
@@ -28,17 +30,24 @@ def triplets(g: PropertyGraph, src: bool = True, dst: bool = True) -> DataFrame:
     return out.select("src", "dst", "attr", *[f"{s}_attr" for s, w in (("src", src), ("dst", dst)) if w])
 
 
-def outer_join_vertices(g: PropertyGraph, other: DataFrame, f: Callable[[Column, Column, Column], Column], value: str = "value") -> PropertyGraph:
+def _once(other: DataFrame, value: str, merge: str | Callable) -> DataFrame:
+    """One row of ``other`` for each id, repeated ones merged; the join then finds it
+    partitioned already."""
+    return other.groupBy("id").agg(merged(merge, F.col(value)).alias("value"))
+
+
+def outer_join_vertices(g: PropertyGraph, other: DataFrame, f: Callable[[Column, Column, Column], Column], value: str = "value", merge: str | Callable = "min") -> PropertyGraph:
     """Vertex attributes f(id, attr, value), where ``value`` is null for vertices that
-    ``other(id, value)`` lacks; its ids that are no vertices are passed over."""
-    v = g.vertices.join(other.select("id", F.col(value).alias("value")), "id", "left")
+    ``other(id, value)`` lacks; its ids that are no vertices are passed over, and values of
+    repeated ids are merged (into the least)."""
+    v = g.vertices.join(_once(other, value, merge), "id", "left")
     return _graph(v.select("id", f(F.col("id"), F.col("attr"), F.col("value")).alias("attr")), g.edges)
 
 
-def join_vertices(g: PropertyGraph, other: DataFrame, f: Callable[[Column, Column, Column], Column], value: str = "value") -> PropertyGraph:
+def join_vertices(g: PropertyGraph, other: DataFrame, f: Callable[[Column, Column, Column], Column], value: str = "value", merge: str | Callable = "min") -> PropertyGraph:
     """As outer_join_vertices for vertices that ``other`` has (even with a null value);
     the others keep their attribute."""
-    v = g.vertices.join(other.select("id", F.col(value).alias("value"), F.lit(True).alias("found")), "id", "left")
+    v = g.vertices.join(_once(other, value, merge).withColumn("found", F.lit(True)), "id", "left")
     new = F.when(F.col("found"), f(F.col("id"), F.col("attr"), F.col("value"))).otherwise(F.col("attr"))
     return _graph(v.select("id", new.alias("attr")), g.edges)
 

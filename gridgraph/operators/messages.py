@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridgraph.operators import joins
 from gridgraph.operators.expressions import Triplet, merged
 from gridgraph.operators.filters import active_edges
 
@@ -49,7 +50,20 @@ def aggregate_messages(
             for side in ("src", "dst"):
                 e = e.join(ids.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_active")), side, "left")
             e = active_edges(e.fillna(False, ["src_active", "dst_active"]), direction)
-    return receive(e, sent, merge, many)
+    out = receive(e, sent, merge, many)
+    if all({"src": t.reads_src, "dst": t.reads_dst}[side] for side, _ in sent):
+        return out  # the receivers were joined as vertices
+    return out.join(g.vertices.select("id"), "id", "left_semi")
+
+
+def aggregate_messages_in_python(g: PropertyGraph, send: Callable[[Iterator], Iterator], message_type: str, merge: str | Callable = "sum") -> DataFrame:
+    """As aggregate_messages, for messages that Columns can't express: ``send`` makes of an
+    iterator of pandas frames of triplets (src, dst, attr, src_attr, dst_attr) one of frames
+    of (id, m), any number of rows for each triplet. Rows pass through Python in Arrow
+    batches; null messages are none, and merging stays in the JVM."""
+    sent = joins.triplets(g).mapInPandas(send, f"id bigint, m {message_type}")
+    out = sent.filter("id is not null and m is not null").groupBy("id").agg(merged(merge, F.col("m")).alias("attr"))
+    return out.join(g.vertices.select("id"), "id", "left_semi")
 
 
 def receive(edges: DataFrame, sent: list[tuple[str, Column]], merge: str | Callable, many: bool = False) -> DataFrame:

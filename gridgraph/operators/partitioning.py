@@ -82,8 +82,9 @@ def partition_by(g: PropertyGraph, partition: Callable[[int], Column] | Column,
 
 
 def partition_by_grid(g: PropertyGraph, n: int | None = None) -> PropertyGraph:
-    """partition_by over the grid up to the largest vertex id."""
-    n = n or g.edges.rdd.getNumPartitions()
+    """partition_by over the grid up to the largest vertex id, in as many partitions as
+    shuffles have if ``n`` is not given."""
+    n = n or int(g.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = g.max_vertex_id() or 0
     return partition_by(g, grid_partition(n, size), n)
 

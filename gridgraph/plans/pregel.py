@@ -16,6 +16,9 @@ from gridgraph.plans.lineage import cut
 if TYPE_CHECKING:
     from gridgraph.graph import PropertyGraph
 
+#: Directions in which the vertex at an end of an edge has to be active.
+NEEDED = {"src": ("out", "both"), "dst": ("in", "both")}
+
 
 def pregel(
     g: PropertyGraph, initial: Column, vprog: Callable[[Column, Column, Column], Column], to_src: Message | None = None, to_dst: Message | None = None,
@@ -28,6 +31,8 @@ def pregel(
     """
     from gridgraph.graph import PropertyGraph
 
+    if direction not in ("out", "in", "both", "either"):
+        raise ValueError(f"direction {direction!r} is none of out, in, both, either")
     t = Triplet()
     sent = [(side, f(t)) for side, f in (("src", to_src), ("dst", to_dst)) if f is not None]
     reads = {"src": t.reads_src or direction != "in", "dst": t.reads_dst or direction != "out"}
@@ -39,8 +44,11 @@ def pregel(
         e = edges
         for side, wanted in reads.items():
             if wanted:
-                e = e.join(state.select(F.col("id").alias(side), F.col("attr").alias(f"{side}_attr"), F.col("active").alias(f"{side}_active")), side)
-        if done:
+                # Where the direction needs this side to be active, only active vertices are
+                # joined: few of them, so that late supersteps need not shuffle all edges.
+                v = state.filter("active") if direction in NEEDED[side] else state
+                e = e.join(v.select(F.col("id").alias(side), F.col("attr").alias(f"{side}_attr"), F.col("active").alias(f"{side}_active")), side)
+        if direction == "either" and done:
             e = active_edges(e, direction)
         received = receive(e, sent, merge, many).select("id", F.col("attr").alias("message"), F.lit(True).alias("got"))
         joined = state.join(received, "id", "left")

@@ -6,17 +6,21 @@ sum, arrays are sorted and joined to strings, and ranks are rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridgraph.functions import bitset, k2
 from gridgraph.graph import PropertyGraph
 from gridgraph.operators import joins, partitioning
 from gridgraph.plans import algorithms
+from gridgraph.plans.lineage import ensure_checkpoint_dir
 from gridgraph.sources import builders
-from gridgraph.testgraphs import PART, buys_edges, flow, flow_edges, geo, leading, supply, supply_edges, supply_vertices, table, trade
+from gridgraph.sources.edge_list import random_edges as draw
+from gridgraph.sources.edge_list import read_edge_list, write_edge_list
+from gridgraph.testgraphs import PART, buys_edges, flow, flow_edges, geo, supply, supply_edges, supply_vertices, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,10 +32,7 @@ _CTES = {
     "be": f"be AS (SELECT o_custkey AS src, l_partkey + {PART} AS dst, count(*) AS attr FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)",
     "fe": "fe AS (SELECT src, dst, count(*) AS attr FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY ALL)",
     "fv": "fv AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS attr FROM part)",
-    "le": "le AS (SELECT src, dst, attr FROM fe QUALIFY row_number() OVER (PARTITION BY src ORDER BY attr DESC, dst) = 1)",
     "ce": "ce AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS attr FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL)",
-    "te": "te AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(sum(l_quantity) AS BIGINT) AS attr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(sum(l_quantity) AS BIGINT) DESC, s_nationkey) = 1)",
-    "tv": "tv AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)",
     "ge": "ge AS (SELECT CAST(n_regionkey AS BIGINT) * 4 AS src, CAST(n_nationkey AS BIGINT) * 4 + 1 AS dst FROM nation UNION ALL SELECT CAST(c_nationkey AS BIGINT) * 4 + 1, c_custkey * 4 + 2 FROM customer UNION ALL SELECT CAST(s_nationkey AS BIGINT) * 4 + 1, s_suppkey * 4 + 3 FROM supplier)",
     "gv": "gv AS (SELECT CAST(r_regionkey AS BIGINT) * 4 AS id FROM region UNION ALL SELECT dst FROM ge)",
 }
@@ -52,6 +53,11 @@ def query(name: str, ctes: str = "", sql: str | None = None, recursive: bool = F
     return add
 
 
+def shared(spark, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _joined(column: str, sep: str = ","):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), sep)
 
@@ -162,11 +168,13 @@ def vertex_minus(spark, d):
     return joins.minus(g.vertices, g.edges.select(F.col("src").alias("id")))
 
 
-@query("pick_random_vertex", "fv", "SELECT count(*) > 0 AS found FROM fv")
+@query("pick_random_vertex", "fv", "SELECT 6::BIGINT AS members, true AS varied, true AS repeatable FROM (SELECT count(*) FROM fv)")
 def pick_random_vertex(spark, d):
+    """Vertices by six seeds: all are of the graph, they differ, and a seed repeats itself."""
     g = flow(spark, d)
-    one = spark.createDataFrame([(g.pick_random_vertex(5),)], "id bigint")
-    return g.vertices.join(one, "id", "left_semi").agg((F.count(F.lit(1)) == 1).alias("found"))
+    picked = [g.pick_random_vertex(seed) for seed in range(6)]
+    told = spark.createDataFrame([(i,) for i in picked], "id bigint").join(g.vertices, "id")
+    return told.agg(F.count(F.lit(1)).alias("members"), (F.countDistinct("id") > 2).alias("varied"), F.lit(g.pick_random_vertex(0) == picked[0]).alias("repeatable"))
 
 
 # Joins
@@ -235,6 +243,19 @@ def aggregate_messages_both_ways(spark, d):
     return flow(spark, d).aggregate_messages(to_src=lambda t: t.attr, to_dst=lambda t: t.attr * 1000, merge="sum")
 
 
+@query("aggregate_messages_python", "se sv", "SELECT id, CAST(sum(m) AS BIGINT) AS attr FROM (SELECT se.src AS id, se.attr % 7 AS m FROM se WHERE se.attr % 2 = 1 UNION ALL SELECT se.dst, s.attr FROM se JOIN sv s ON se.src = s.id) GROUP BY id")
+def aggregate_messages_python(spark, d):
+    """Messages from a Python function: to the source for odd edges, to the target always."""
+
+    def send(frames):
+        for f in frames:
+            odd = f[f["attr"] % 2 == 1]
+            yield odd.assign(id=odd["src"], m=odd["attr"] % 7)[["id", "m"]]
+            yield f.assign(id=f["dst"], m=f["src_attr"])[["id", "m"]]
+
+    return supply(spark, d).aggregate_messages_in_python(send, "bigint")
+
+
 def _active(direction: str, condition: str) -> None:
     @query(f"aggregate_messages_active_{direction}", "fe fv", f"+ a AS (SELECT id FROM fv WHERE attr <= 10) SELECT dst AS id, CAST(sum(attr) AS BIGINT) AS attr FROM fe WHERE {condition} GROUP BY dst")
     def run(spark, d):
@@ -366,12 +387,22 @@ def personalized_parallel(spark, d):
     return ranks.select("source", "id", F.round("attr", 6).alias("attr"))
 
 
-@query("pagerank_tol")
+def _until(tolerance: float, start: str, rounds: int) -> str:
+    """Ranks that send on changes above the tolerance. After enough rounds no change is, and
+    further ones change nothing."""
+    out = [f"s0 AS MATERIALIZED (SELECT id, {start} AS rank, {start} AS delta FROM v)"]
+    for k in range(rounds):
+        sent = f"SELECT w.dst AS id, 0.85::DOUBLE * sum(s.delta * w.w) AS d FROM w JOIN s{k} s ON s.id = w.src WHERE s.delta > {tolerance} GROUP BY w.dst"
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT s.id, s.rank + coalesce(m.d, 0) AS rank, coalesce(m.d, 0) AS delta FROM s{k} s LEFT JOIN ({sent}) m ON m.id = s.id)")
+    return ", ".join(out)
+
+
+@query("pagerank_tol", "fe fv", f"+ {_W}, {_until(0.1, '0.15::DOUBLE', 40)} SELECT id, round(rank * (SELECT count(*) FROM v) / (SELECT sum(rank) FROM s40), 6) AS attr FROM s40")
 def pagerank_tol(spark, d):
     return flow(spark, d).page_rank(0.1).vertices.select("id", F.round("attr", 6).alias("attr"))
 
 
-@query("personalized_tol")
+@query("personalized_tol", "fe fv", f"+ {_W}, {_until(0.01, 'CASE WHEN id = 0 THEN 1.0::DOUBLE ELSE 0 END', 40)} SELECT id, round(rank / (SELECT sum(rank) FROM s40), 6) AS attr FROM s40")
 def personalized_tol(spark, d):
     return flow(spark, d).personalized_page_rank(0, 0.01).vertices.select("id", F.round("attr", 6).alias("attr"))
 
@@ -381,39 +412,29 @@ def triangle_count(spark, d):
     return flow(spark, d).triangle_count().vertices
 
 
-# Components and paths
-_UNDIRECTED = "u AS (SELECT src AS a, dst AS b FROM le UNION SELECT dst, src FROM le)"
+# Components, paths, and Pregel to its fixed point
+_REACHED = "SELECT id, min(m) AS attr FROM r GROUP BY id"
 
 
-@query("connected_components", "fe fv le", f"+ {_UNDIRECTED}, r AS (SELECT id, id AS m FROM fv UNION SELECT r.id, u.b FROM r JOIN u ON r.m = u.a) SELECT id, min(m) AS attr FROM r GROUP BY id", recursive=True)
+@query("connected_components", "ge gv", f"+ u AS (SELECT src AS a, dst AS b FROM ge UNION ALL SELECT dst, src FROM ge), r AS (SELECT id, id AS m FROM gv UNION SELECT u.b, r.m FROM r JOIN u ON r.id = u.a) {_REACHED}", recursive=True)
 def connected_components(spark, d):
-    return leading(spark, d).connected_components().vertices
-
-
-@query("connected_components_bounded", "fe fv le", f"+ {_UNDIRECTED}, r1 AS (SELECT id, least(fv.id, coalesce(min(u.b), fv.id)) AS m FROM fv LEFT JOIN u ON u.a = fv.id GROUP BY fv.id), r2 AS (SELECT r1.id, least(r1.m, coalesce(min(o.m), r1.m)) AS m FROM r1 LEFT JOIN u ON u.a = r1.id LEFT JOIN r1 o ON o.id = u.b GROUP BY r1.id, r1.m) SELECT id, m AS attr FROM r2")
-def connected_components_bounded(spark, d):
-    return leading(spark, d).connected_components(2).vertices
-
-
-@query("scc", "te tv", "+ r AS (SELECT id, id AS m FROM tv UNION SELECT r.id, te.dst FROM r JOIN te ON r.m = te.src) SELECT a.id, min(a.m) AS attr FROM r a JOIN r b ON a.id = b.m AND a.m = b.id GROUP BY a.id", recursive=True)
-def scc(spark, d):
-    return trade(spark, d).strongly_connected_components(20).vertices
+    """The trees of the regions."""
+    return geo(spark, d).connected_components().vertices
 
 
-# The SQL above fixes graphs with one edge out of each vertex; these have all of the flow.
-@query("connected_components_whole")
+@query("connected_components_whole", "fe fv", f"+ u AS (SELECT DISTINCT unnest([src, dst]) AS a, unnest([dst, src]) AS b FROM fe), r AS (SELECT id, id AS m FROM fv UNION SELECT r.id, u.b FROM r JOIN u ON r.m = u.a) {_REACHED}", recursive=True)
 def connected_components_whole(spark, d):
     return flow(spark, d).connected_components().vertices
 
 
-@query("scc_whole")
-def scc_whole(spark, d):
-    return flow(spark, d).strongly_connected_components(20).vertices
+@query("connected_components_bounded", "fe fv", "+ u AS (SELECT src AS a, dst AS b FROM fe UNION SELECT dst, src FROM fe), r1 AS (SELECT id, least(fv.id, coalesce(min(u.b), fv.id)) AS m FROM fv LEFT JOIN u ON u.a = fv.id GROUP BY fv.id), r2 AS (SELECT r1.id, least(r1.m, coalesce(min(o.m), r1.m)) AS m FROM r1 LEFT JOIN u ON u.a = r1.id LEFT JOIN r1 o ON o.id = u.b GROUP BY r1.id, r1.m) SELECT id, m AS attr FROM r2")
+def connected_components_bounded(spark, d):
+    return flow(spark, d).connected_components(2).vertices
 
 
-@query("sssp_whole")
-def sssp_whole(spark, d):
-    return flow(spark, d).weighted_shortest_paths(0).vertices
+@query("scc", "fe fv", "+ r AS (SELECT id, id AS m FROM fv UNION SELECT r.id, fe.dst FROM r JOIN fe ON r.m = fe.src) SELECT a.id, min(a.m) AS attr FROM r a JOIN r b ON a.id = b.m AND a.m = b.id GROUP BY a.id", recursive=True)
+def scc(spark, d):
+    return flow(spark, d).strongly_connected_components(20).vertices
 
 
 @query("shortest_paths", "ge gv", "+ u AS (SELECT src AS a, dst AS b FROM ge UNION ALL SELECT dst, src FROM ge), r AS (SELECT id AS landmark, id, 0 AS hops FROM gv WHERE id IN (0, 4) UNION SELECT r.landmark, u.a, r.hops + 1 FROM r JOIN u ON u.b = r.id WHERE r.hops < 6), m AS (SELECT id, landmark, min(hops) AS hops FROM r GROUP BY ALL) SELECT gv.id, coalesce(string_agg(m.landmark || ':' || m.hops, ',' ORDER BY m.landmark), '') AS attr FROM gv LEFT JOIN m ON gv.id = m.id GROUP BY gv.id", recursive=True)
@@ -424,9 +445,32 @@ def shortest_paths(spark, d):
     return both.shortest_paths([0, 4]).vertices.select("id", F.array_join(told, ",").alias("attr"))
 
 
-@query("sssp", "te tv", "+ r AS (SELECT 0::BIGINT AS id, 0::DOUBLE AS d, 0 AS steps UNION SELECT te.dst, r.d + te.attr, r.steps + 1 FROM r JOIN te ON r.id = te.src WHERE r.steps < 30), m AS (SELECT id, min(d) AS d FROM r GROUP BY id) SELECT tv.id, coalesce(m.d, 'infinity'::DOUBLE) AS attr FROM tv LEFT JOIN m ON tv.id = m.id", recursive=True)
+def _relaxed(rounds: int) -> str:
+    """Least sums of attributes on ways from vertex 0 of up to so many edges."""
+    out = ["d0 AS MATERIALIZED (SELECT id, CASE WHEN id = 0 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END AS attr FROM fv)"]
+    for k in range(rounds):
+        out.append(f"d{k + 1} AS MATERIALIZED (SELECT o.id, least(o.attr, coalesce(n.attr, o.attr)) AS attr FROM d{k} o LEFT JOIN (SELECT fe.dst AS id, min(d.attr + fe.attr) AS attr FROM fe JOIN d{k} d ON d.id = fe.src GROUP BY fe.dst) n ON n.id = o.id)")
+    return ", ".join(out)
+
+
+@query("sssp", "fe fv", f"+ {_relaxed(40)} SELECT id, attr FROM d40")
 def sssp(spark, d):
-    return trade(spark, d).weighted_shortest_paths(0).vertices
+    return flow(spark, d).weighted_shortest_paths(0).vertices
+
+
+def _pregel_whole(direction: str, edges: str) -> None:
+    @query(f"pregel_{direction}", "fe fv", f"+ x AS ({edges}), r AS (SELECT id, id AS m FROM fv UNION SELECT x.b, r.m FROM r JOIN x ON r.id = x.a) SELECT id, max(m) AS attr FROM r GROUP BY id", recursive=True)
+    def run(spark, d):
+        """Each vertex with the greatest id that reaches it, to the fixed point."""
+        g = flow(spark, d).map_vertices(lambda i, a: i)
+        along = None if direction == "in" else lambda t: F.when(t.src_attr > t.dst_attr, t.src_attr)
+        against = None if direction == "out" else lambda t: F.when(t.dst_attr > t.src_attr, t.dst_attr)
+        return g.pregel(F.lit(-1).cast("bigint"), lambda i, a, m: F.greatest(a, m), to_src=against, to_dst=along, merge="max", direction=direction).vertices
+
+
+_pregel_whole("out", "SELECT src AS a, dst AS b FROM fe")
+_pregel_whole("in", "SELECT dst AS a, src AS b FROM fe")
+_pregel_whole("either", "SELECT src AS a, dst AS b FROM fe UNION SELECT dst, src FROM fe")
 
 
 @query("pregel_hops", "fe fv", "+ r0 AS (SELECT id, CASE WHEN id = 0 THEN 0 ELSE 1000000 END AS m FROM fv), r1 AS (SELECT fv.id, least(any_value(o.m), coalesce(min(r.m + 1), 1000000)) AS m FROM fv JOIN r0 o ON o.id = fv.id LEFT JOIN fe ON fe.dst = fv.id LEFT JOIN r0 r ON r.id = fe.src AND r.m < 1000000 GROUP BY fv.id), r2 AS (SELECT fv.id, least(any_value(o.m), coalesce(min(r.m + 1), 1000000)) AS m FROM fv JOIN r1 o ON o.id = fv.id LEFT JOIN fe ON fe.dst = fv.id LEFT JOIN r1 r ON r.id = fe.src AND r.m < 1000000 GROUP BY fv.id) SELECT id, CAST(m AS INTEGER) AS attr FROM r2")
@@ -475,9 +519,16 @@ def canonical_cut(spark, d):
     return flow(spark, d).edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), pid.alias("pid")).groupBy("a", "b").agg(F.countDistinct("pid").alias("partitions"))
 
 
-@query("random_vertex_cut", "fe", "SELECT count(*) AS n FROM fe")
+@query("random_vertex_cut", "fe", "SELECT count(*) AS n, 8::BIGINT AS partitions, true AS even, true AS together FROM fe")
 def random_vertex_cut(spark, d):
-    return flow(spark, d).partition_by(partitioning.random_vertex_cut, 8).edges.agg(F.count(F.lit(1)).alias("n"))
+    """Edges, each of which stands twice before: equal pairs meet, so one is left of two; all
+    partitions are used, none by more than twice its share; edges are where they belong."""
+    g = flow(spark, d)
+    twice = PropertyGraph(g.vertices, g.edges.unionAll(g.edges))
+    at = twice.partition_by(partitioning.random_vertex_cut, 8).edges.withColumn("at", F.spark_partition_id())
+    sizes = at.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("at") == partitioning.random_vertex_cut(8)).alias("right"))
+    total = F.sum("n")
+    return sizes.agg(total.alias("n"), F.count(F.lit(1)).alias("partitions"), (F.max("n") * 4 < total).alias("even"), F.bool_and("right").alias("together"))
 
 
 # K2-trees: blocks of 64 x 64 cells of the flow's matrix
@@ -515,6 +566,21 @@ def k2_sort_rank(spark, d):
     return k2.decode(_trees(spark, d), _BY)
 
 
+@query("k2_order", "fe", "SELECT count(*) AS n, 0::BIGINT AS inversions, 0::BIGINT AS overlaps FROM fe")
+def k2_order(spark, d):
+    """The flow in ranges of K2 order: within a partition positions go up, and the next
+    partition begins behind the last position of the one before."""
+    g = flow(spark, d)
+    size = (g.max_vertex_id() or 0) + 1
+    z = k2.k2_index(F.col("src"), F.col("dst"), _K, k2.height_of(_K, size))
+    at = partitioning.k2_ranged(g.edges, _K, size, 6).select(z.alias("z"), F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("place"))
+    at = at.withColumn("before", F.lag("z").over(Window.partitionBy("pid").orderBy("place")))
+    parts = at.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("z") <= F.col("before")).cast("bigint")).alias("down"), F.min("z").alias("low"), F.max("z").alias("high"))
+    # Six rows, one for each partition.
+    parts = parts.withColumn("last", F.lag("high").over(Window.orderBy("pid")))
+    return parts.agg(F.sum("n").alias("n"), F.coalesce(F.sum("down"), F.lit(0)).cast("bigint").alias("inversions"), F.coalesce(F.sum((F.col("low") <= F.col("last")).cast("bigint")), F.lit(0)).cast("bigint").alias("overlaps"))
+
+
 @query("k2_tree_bits", "fe", f"+ {_TREE} SELECT row_block, col_block, bits FROM t")
 def k2_tree_bits(spark, d):
     return _trees(spark, d).select(*_BY, "bits")
@@ -537,11 +603,36 @@ def bitset_rank(spark, d):
     return words.select("id", bitset.count("words", 10, 700).cast("bigint").alias("between_10_700"), bitset.cardinality("words").cast("bigint").alias("cardinality"), bitset.next_set_bit("words", 100).alias("next_from_100"))
 
 
+def _dense(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """For each ``a`` the set of its ``b`` as words without gaps: the words that have bits,
+    with as many empty ones before each as are missing."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(b) % 64).cast("int"))
+    words = edges.groupBy(F.col(a).alias("id"), F.expr(f"{b} div 64L").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    before = F.concat(F.array(F.lit(-1)), F.transform("w", lambda x: x["word"]))
+    filled = F.transform("w", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("bigint"), x["word"] - F.get(before, i) - 1), F.array(x["bits"])))
+    return held.select("id", F.flatten(filled).alias(name))
+
+
 def _bitsets(spark, d) -> DataFrame:
-    """Each part with the set of parts that follow it: its words, without gaps."""
-    words = flow_edges(spark, d).groupBy("src", F.expr("dst div 64L").cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("dst") % 64).cast("int"))).alias("bits"))
-    by_word = words.groupBy(F.col("src").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
-    return by_word.select("id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("bigint"))).alias("words"))
+    """Each part with the set of parts that follow it."""
+    return _dense(flow_edges(spark, d), "src", "dst", "words")
+
+
+@query(
+    "bitset_changes", "fe",
+    "SELECT src AS id, count(*) FILTER (dst >= 130) + 130 AS after_set, count(*) FILTER (dst >= 130) AS after_clear, CAST(bool_or(dst = 70) AS BOOLEAN) AS has_70, count(*) + CASE WHEN bool_or(dst = 3) THEN 0 ELSE 1 END AS with_3, "
+    "count(*) - CASE WHEN bool_or(dst = 70) THEN 1 ELSE 0 END AS without_70, greatest(max(dst) // 64 + 1, 16) * 64 AS grown, greatest(max(dst) // 64 + 1, 16) * 64 - 1 - max(dst) AS first_reversed FROM fe GROUP BY src",
+)
+def bitset_changes(spark, d):
+    """Bits set, taken out, asked for, and mirrored, in sets with room for 1,024 at least."""
+    w = _bitsets(spark, d).select("id", bitset.grow("words", 1024).alias("words"))
+    size = lambda x: bitset.cardinality(x).cast("bigint")
+    return w.select(
+        "id", size(bitset.set_until("words", 130)).alias("after_set"), size(bitset.clear_until("words", 130)).alias("after_clear"), bitset.get_bit("words", 70).alias("has_70"),
+        size(bitset.set_bit("words", 3)).alias("with_3"), size(bitset.unset_bit("words", 70)).alias("without_70"),
+        bitset.capacity("words").cast("bigint").alias("grown"), bitset.next_set_bit(bitset.reverse("words"), 0).alias("first_reversed"),
+    )
 
 
 @query(
@@ -551,11 +642,8 @@ def _bitsets(spark, d) -> DataFrame:
     "SELECT na.src AS id, coalesce(i.n, 0) AS both, na.n + nb.n - coalesce(i.n, 0) AS any, na.n + nb.n - 2 * coalesce(i.n, 0) AS one, na.n - coalesce(i.n, 0) AS first_only FROM na JOIN nb ON na.src = nb.src LEFT JOIN i ON i.src = na.src",
 )
 def bitset_ops(spark, d):
-    def sets(a, b):
-        words = flow_edges(spark, d).groupBy(F.col(a).alias("id"), F.expr(f"{b} div 64L").cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(b) % 64).cast("int"))).alias("bits"))
-        m = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("last"))
-        return m.select("id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("bigint"))).alias(f"to_{b}"))
-
+    e = flow_edges(spark, d)
+    sets = lambda a, b: _dense(e, a, b, f"to_{b}")
     both = sets("src", "dst").join(sets("dst", "src"), "id")
     size = lambda w: bitset.cardinality(w).cast("bigint")
     return both.select(
@@ -567,20 +655,29 @@ def bitset_ops(spark, d):
 @query("mtx_roundtrip", "fe", "SELECT src, dst, CAST(attr AS INTEGER) AS attr FROM fe")
 def mtx_roundtrip(spark, d):
     """The flow written as text lines and read again."""
-    import uuid
-
-    from gridgraph.plans.lineage import ensure_checkpoint_dir
-    from gridgraph.sources.edge_list import read_edge_list, write_edge_list
-
-    path = f"{ensure_checkpoint_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = shared(spark, "edges")
     write_edge_list(flow_edges(spark, d), path)
     return read_edge_list(spark, path, header=False)[1]
 
 
-@query("random_edges", sql="SELECT true AS some, true AS inside")
-def random_edges(spark, d):
-    """A synthetic matrix has cells, all inside it and with attribute 0."""
-    from gridgraph.sources.edge_list import random_edges as draw
+@query("mtx_header", sql="SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS INTEGER) * -3 ELSE 0 END AS attr FROM nation")
+def mtx_header(spark, d):
+    """Nations and regions as a file with comments, a header, blanks and tabs, and values
+    that are left out, read again."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
+    lines = n.select("a", F.concat_ws("\t", "a", "b", F.when(F.col("a") % 2 == 0, F.col("a") * -3)).alias("value"))
+    top = spark.createDataFrame([(-4, "% comment"), (-3, "# another"), (-2, "25  5 25"), (-1, "%% a comment below the header")], "a bigint, value string")
+    path = shared(spark, "edges")
+    top.unionByName(lines).repartition(1).sortWithinPartitions("a").select("value").write.text(path)
+    return read_edge_list(spark, path)[1]
+
 
-    inside = F.col("src").between(0, 399) & F.col("dst").between(0, 399) & (F.col("attr") == 0)
-    return draw(spark, 400, 0.1).agg((F.count(F.lit(1)) > 0).alias("some"), F.bool_and(inside).alias("inside"))
+@query("random_edges", sql="SELECT true AS expected, true AS inside, true AS unique, true AS repeatable, true AS spread")
+def random_edges(spark, d):
+    """A synthetic matrix has about as many cells as its density says, all different and
+    inside it, with attribute 0; a seed draws the same again, and all columns are hit."""
+    e = draw(spark, 400, 0.1)
+    both = e.withColumn("x", F.lit(1)).unionAll(draw(spark, 400, 0.1).withColumn("x", F.lit(2))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1))
+    told = e.agg(n.between(16000 - 720, 16000 + 720).alias("expected"), F.bool_and(F.col("src").between(0, 399) & F.col("dst").between(0, 399) & (F.col("attr") == 0)).alias("inside"), (n == F.countDistinct("src", "dst")).alias("unique"), (F.countDistinct("dst") == 400).alias("spread"))
+    return told.crossJoin(both.agg(F.bool_and(F.col("n") == 2).alias("repeatable"))).select("expected", "inside", "unique", "repeatable", "spread")

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from gridgraph.operators.expressions import merged
 
 
+def whole(edges: DataFrame) -> DataFrame:
+    """Edges with both ends; a null end is no vertex."""
+    return edges.filter("src is not null and dst is not null")
+
+
 def distinct_edges(edges: DataFrame, merge: str | Callable = "min") -> DataFrame:
     """One edge per pair. The default keeps the least attribute, whatever the order."""
-    return edges.groupBy("src", "dst").agg(merged(merge, F.col("attr")).alias("attr"))
+    return whole(edges).groupBy("src", "dst").agg(merged(merge, F.col("attr")).alias("attr"))
 
 
 def distinct_vertices(vertices: DataFrame, merge: str | Callable = "min") -> DataFrame:
@@ -21,8 +26,8 @@ def distinct_vertices(vertices: DataFrame, merge: str | Callable = "min") -> Dat
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    """The ids at the ends of edges, once each."""
-    return edges.select(F.explode(F.array(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))).alias("id")).distinct()
+    """The ids at the ends of edges, once each; edges with a null end have none."""
+    return whole(edges).select(F.explode(F.array(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))).alias("id")).distinct()
 
 
 def vertices_of(edges: DataFrame, default_attr: object = None) -> DataFrame:

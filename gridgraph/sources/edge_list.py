@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +48,21 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
 def random_edges(spark: SparkSession, size: int, density: float, seed: int = 42) -> DataFrame:
     """Cells of a size x size matrix, each with a chance of ``density``; attribute 0.
 
-    Rows are dealt out, and each row's cells are drawn where it is made.
+    Matrix rows are dealt out. For each, how many cells it has is drawn first and then
+    where they are, from its own seed: time and rows go with the cells that there are, and
+    a task that runs again draws the same.
     """
-    cells = spark.range(size).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(size - 1)).cast("array<bigint>")).alias("dst"))
-    return cells.filter(F.rand(seed) < density).withColumn("attr", F.lit(0))
+    if not 0 <= density <= 1:
+        raise ValueError("a density is from 0 to 1")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                rng = np.random.default_rng([seed & 0xFFFFFFFF, row])
+                at = np.sort(rng.choice(size, rng.binomial(size, density), replace=False, shuffle=False)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(at), pa.array(np.zeros(len(at), np.int32))], names=["src", "dst", "attr"])
+
+    return spark.range(size).mapInArrow(draw, "src bigint, dst bigint, attr int")
 
 
 def write_matrix_parquet(edges: DataFrame, path: str, k: int, size: int, n: int) -> None:

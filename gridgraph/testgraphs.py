@@ -52,14 +52,6 @@ def flow(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(v, flow_edges(spark, sf_dir))
 
 
-def leading(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """All parts, each with one edge to the part that follows it most often (ties to the
-    smaller id): a sparse graph with cycles, several components, long ways."""
-    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("attr"), "dst"))
-    e = flow_edges(spark, sf_dir).withColumn("r", best).filter("r = 1").select("src", "dst", "attr")
-    return PropertyGraph(flow(spark, sf_dir).vertices, e)
-
-
 def copurchase(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Parts, and pairs of different parts (smaller to larger) in one order, with how many
     orders have both."""
@@ -81,16 +73,3 @@ def geo(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     )
     v = table(spark, sf_dir, "region").select(up("r_regionkey", 0).alias("id")).unionAll(e.select("dst"))
     return PropertyGraph(v.withColumn("attr", F.col("id") % 4), e.withColumn("attr", F.col("dst") % 4))
-
-
-def trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """All nations, each with one edge to the nation from whose suppliers its customers
-    buy most (ties to the smaller key), with the quantity."""
-    n, c, s, o = (table(spark, sf_dir, x) for x in ("nation", "customer", "supplier", "orders"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    sold = lines.join(s.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("dst")), "l_suppkey")
-    bought = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(c.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("src")), "c_custkey")
-    e = sold.join(bought, "l_orderkey").groupBy("src", "dst").agg(F.sum("l_quantity").cast("bigint").alias("attr"))
-    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("attr"), "dst"))
-    v = n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("attr"))
-    return PropertyGraph(v, e.withColumn("r", best).filter("r = 1").select("src", "dst", "attr"))

@@ -139,3 +139,17 @@ def test_partition_by_places_edges(spark):
     assert placed.filter(F.col("at") != partitioning.edge_partition_2d(9)).isEmpty() and placed.rdd.getNumPartitions() == 9
     assert g.partition_by_grid(5).num_edges() == g.num_edges()
     assert partitioning.k2_ranged(g.edges, 2, 9, 3).count() == partitioning.k2_sorted(g.edges, 2, 9).count() == g.num_edges()
+
+
+def test_bit_ranges_beyond_the_words(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        size = rng.randint(0, 5)
+        held = {b for b in range(64 * size) if rng.random() < rng.choice([0.02, 0.5])}
+        words = [sum(1 << b % 64 for b in held if b // 64 == k) for k in range(size)]
+        a, b = rng.randint(-3, 400), rng.randint(-3, 400)
+        rows.append(([w - (1 << 64) if w >> 63 else w for w in words], a, b, sum(a <= x <= b for x in held), min((x for x in held if x >= a), default=-1)))
+    df = spark.createDataFrame(rows, "w array<bigint>, a bigint, b bigint, n int, first bigint")
+    got = df.select("n", "first", bitset.count("w", F.col("a"), F.col("b")).alias("found"), bitset.next_set_bit("w", F.col("a")).alias("next")).collect()
+    assert all((r.n, r.first) == (r.found, r.next) for r in got), got

@@ -236,3 +236,94 @@ def test_pregel_directions(g, direction):
     out = start.pregel(F.lit(0), lambda i, a, m: a + m, to_dst=lambda t: F.lit(1), merge="sum", max_iterations=2, direction=direction)
     want = {1: 3, 2: 2, 3: 4, 4: 4, 5: 2, 6: 0, 7: 3 if direction in ("out", "both") else 4, 8: 0}
     assert attrs(out) == want
+
+
+def test_messages_to_no_vertices_are_dropped(spark):
+    v = spark.createDataFrame([(1, 5), (2, 6)], "id bigint, attr bigint")
+    e = spark.createDataFrame([(1, 2, 10), (1, 9, 20), (8, 2, 30)], "src bigint, dst bigint, attr bigint")
+    g = PropertyGraph(v, e)
+    assert dict(rows(g.aggregate_messages(to_dst=lambda t: t.attr))) == {2: 40}
+    assert dict(rows(g.aggregate_messages(to_dst=lambda t: t.src_attr))) == {2: 5}
+    assert dict(rows(g.aggregate_messages(to_src=lambda t: t.attr, to_dst=lambda t: t.attr))) == {1: 30, 2: 40}
+    plan = g.aggregate_messages(to_dst=lambda t: t.dst_attr)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_messages_of_a_python_function(g, spark):
+    def send(frames):
+        for f in frames:
+            yield f.assign(id=f["dst"], m=f["src_attr"])[["id", "m"]]
+            yield f.assign(id=f["src"], m=f["attr"])[["id", "m"]]
+            yield f.assign(id=99, m=1)[["id", "m"]]
+
+    assert dict(rows(g.aggregate_messages_in_python(send, "bigint"))) == {1: 85, 2: 40, 3: 130, 4: 210, 5: 140, 6: 70, 7: 340}
+
+
+def test_null_ends_and_ids_are_left_out(spark):
+    v = spark.createDataFrame([(1, 1), (None, 2)], "id bigint, attr bigint")
+    e = spark.createDataFrame([(1, 2, 1), (None, 2, 2), (1, None, 3), (None, None, 4)], "src bigint, dst bigint, attr bigint")
+    for g in (PropertyGraph.of(v, e, 0), PropertyGraph.from_edges(e, 0), PropertyGraph.from_edge_tuples(e.select("src", "dst"), 0), PropertyGraph.from_edge_tuples(e.select("src", "dst"), 0, count_duplicates=True), PropertyGraph.of(v, e.limit(0), 0).add_edges(e, 0)):
+        assert sorted(attrs(g)) == [1, 2] and list(pairs(g)) == [(1, 2)]
+
+
+def test_repeated_ids_do_not_multiply_vertices(g, spark):
+    other = spark.createDataFrame([(1, 7), (1, 3), (1, None), (2, None)], "id bigint, value bigint")
+    assert attrs(g.outer_join_vertices(other, lambda i, a, u: u)) == {1: 3} | dict.fromkeys(range(2, 9))
+    assert attrs(g.outer_join_vertices(other, lambda i, a, u: u, merge="sum"))[1] == 10
+    assert attrs(g.join_vertices(other, lambda i, a, u: u)) == {1: 3, 2: None} | {i: 20 * i for i in range(3, 9)}
+
+
+def test_pregel_needs_a_direction(g):
+    with pytest.raises(ValueError):
+        g.pregel(F.lit(0), lambda i, a, m: a, to_dst=lambda t: F.lit(1), direction="up")
+
+
+def test_late_supersteps_join_active_vertices_alone(spark):
+    n = 40
+    v = spark.range(n).withColumn("attr", F.when(F.col("id") == 0, 0).otherwise(1000))
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("attr"))
+    for direction, graph in (("out", PropertyGraph(v, e)), ("in", PropertyGraph(v, e).reverse())):
+        send = {"to_dst" if direction == "out" else "to_src": (lambda t: F.when(t.src_attr + 1 < t.dst_attr, t.src_attr + 1)) if direction == "out" else (lambda t: F.when(t.dst_attr + 1 < t.src_attr, t.dst_attr + 1))}
+        out = graph.pregel(F.lit(1000), lambda i, a, m: F.least(a, m), merge="min", max_iterations=6, direction=direction, **send)
+        assert attrs(out) == {i: i if i <= 6 else 1000 for i in range(n)}
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from gridgraph.plans import lineage
+
+    class Conf:
+        def get(self, _key, default=None):
+            return default
+
+    class Context:
+        master, set_to = "yarn", None
+
+        def getConf(self):
+            return Conf()
+
+        def setCheckpointDir(self, path):
+            self.set_to = path
+
+        @property
+        def _jsc(self):
+            return self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isEmpty(self):
+            return self.set_to is None
+
+        def get(self):
+            return self.set_to
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        lineage.ensure_checkpoint_dir(Session)
+    Session.sparkContext.master = "local[3]"
+    assert lineage.ensure_checkpoint_dir(Session)

@@ -56,7 +56,7 @@ def test_whole_graphs(spark, con):
                 if d + n < far[t]:
                     far[t] = d + n
                     heapq.heappush(due, (d + n, t))
-    assert {r.id: r.attr for r in QUERIES["sssp_whole"](spark, DATA).collect()} == far
+    assert {r.id: r.attr for r in QUERIES["sssp"](spark, DATA).collect()} == far
     both = {p: set(after[p]) | {s for s in parts if p in after[s]} for p in parts}
 
     def reach(start, ways):
@@ -70,5 +70,5 @@ def test_whole_graphs(spark, con):
 
     assert {r.id: r.attr for r in QUERIES["connected_components_whole"](spark, DATA).collect()} == {p: min(reach(p, both)) for p in parts}
     reached = {p: reach(p, after) for p in parts}
-    assert {r.id: r.attr for r in QUERIES["scc_whole"](spark, DATA).collect()} == {p: min(q for q in reached[p] if p in reached[q]) for p in parts}
+    assert {r.id: r.attr for r in QUERIES["scc"](spark, DATA).collect()} == {p: min(q for q in reached[p] if p in reached[q]) for p in parts}
     assert len(QUERIES["personalized_tol"](spark, DATA).collect()) == len(parts)
