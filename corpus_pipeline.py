@@ -24,7 +24,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one, exactly or within two edits;
-    documents with no word in the other lines go."""
+    documents go that have no word in the other lines, or four fifths of whose text stand
+    in one other document."""
     return _counted(line_dedup.drop_repeated_lines(docs))
 
 
