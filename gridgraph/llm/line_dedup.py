@@ -7,13 +7,18 @@ length and up to THRESHOLD shorter with those of its substrings that can be the
 unchanged one (starts within what edits on the left and on the right allow). Lines that
 meet under a key are verified with a banded bit-parallel edit distance.
 
+Many lines may share a segment and nothing else (a common beginning). What is left of
+them beside it is segmented again, with the edits that may be there, so that only lines
+meet that are alike there too.
+
 Equal lines are one before the join: a task passes on each line once, and keys see
 distinct lines only. Keys and hashes travel, texts are fetched for lines that met others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,15 @@ THRESHOLD = 2
 #: Shorter lines (in code points) are held to be one only where they are equal: two edits
 #: would make other words of them.
 LEAST = 24
+#: Share of a document that has to stand in another one to make it a copy.
+COPY = 0.8
 #: A byte of a word, as ``common.words`` has them.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Lines that a task remembers in order not to pass them on again.
 SEEN = 1 << 18
-#: Lines of a block that are compared with one another; lines are short.
-BLOCK = 2048
+#: Lines of a block that are compared with one another (lines are short); larger buckets of
+#: unlike lines are taken apart by further segments, so many times at most.
+BLOCK, LEVELS = 2048, 6
 
 
 def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -226,6 +234,110 @@ def bigram_parity(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, np.append(0, ends[:-1]))
 
 
+Gap = tuple[int, int, int, int]  # length in the indexed line, start and end in this one, edits left
+
+
+def first_states(line: str, wanted: set[int], threshold: int) -> Iterator[tuple[int, int, list[Gap]]]:
+    """(bucket, role, gaps) for each of a line's keys that is one of the buckets: what is
+    left of it beside the substring, and how many edits may be there."""
+    n = len(line)
+    for i, (length, k, at, size) in enumerate(probes(n, threshold)):
+        bucket = _key(line[at : at + size].encode(), (length * 16 + k) & 0xFFFFFFFF)
+        if bucket in wanted:
+            own = segments(length, threshold)[k][0]
+            yield bucket, int(i > threshold), [g for g in ((own, 0, at, k), (length - own - size, at + size, n, threshold - k)) if g[3]]
+
+
+def _key(content: bytes, seed: int) -> int:
+    """A key as ``_candidates`` has it, without the bit of its role."""
+    value = xxhash.xxh3_64_intdigest(content, seed) & ~1
+    return value - (1 << 64) if value >> 63 else value
+
+
+def finer(line: str, bucket: int, role: int, gaps: list[Gap]) -> Iterator[tuple[int, int, list[Gap]]]:
+    """The buckets into which a line of a bucket falls when the longest gap is segmented in
+    its turn: lines that are similar in the gaps share one of them. Gaps without edits
+    have to be equal, so they go into the key."""
+    place = max((k for k, g in enumerate(gaps) if g[0] > g[3]), key=lambda k: gaps[k][0], default=None)
+    if place is None:
+        yield _key(f"{bucket} {gaps and [g[0] for g in gaps]}".encode(), 1), role, gaps
+        return
+    length, a, b, edits = gaps[place]
+    n = b - a
+    gap = n - length
+    for k, (at, size) in enumerate(segments(length, edits)):
+        left, right = k, edits - k
+        for s in range(max(at - left, at + gap - right, 0), min(at + left, at + gap + right, n - size) + 1):
+            before, inside, behind = line[a : a + s], line[a + s : a + s + size], line[a + s + size : b]
+            fixed = f"{bucket} {place} {k} {len(inside)} {inside}{'' if left else before}\n{'' if right else behind}"
+            now = [(at, a, a + s, left), (length - at - size, a + s + size, b, right)]
+            yield _key(fixed.encode(), 2), int(role or s != at or gap != 0), [*gaps[:place], *[g for g in now if g[3]], *gaps[place + 1 :]]
+
+
+def _refined(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """``members`` with large buckets of lines that are mostly unlike taken apart, until
+    they are small, alike, or cut ``LEVELS`` times. Similar lines still share a bucket."""
+    hot = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("bucket")
+    hot = written(hot, "line-hot")
+    if hot.isEmpty():
+        return members
+    inside = members.join(hot, "bucket")
+    lines = written(fetch(inside.select(F.col("id").alias("k1")).distinct()).select(F.col("k1").alias("id"), "line"), "line-hot-texts")
+    done = [members.join(hot, "bucket", "left_anti")]
+    now = inside.select("bucket", "id", F.lit(None).cast("string").alias("state"))
+    schema = "bucket bigint, id bigint, state string, parity bigint, role int"
+
+    for level in range(LEVELS + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], split: bool = level > 0) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 2000):
+                out: list[tuple] = []
+                for own, raw, asked in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    line = raw.decode("utf-8", "replace")
+                    parity = int(bigram_parity([line])[0].astype(np.int64))
+                    if split:
+                        found = {x for r in asked for x in map(_state, finer(line, r["bucket"], *json.loads(r["state"])))}
+                    else:
+                        found = set(map(_state, first_states(line, {r["bucket"] for r in asked}, threshold)))
+                    out += [(bucket, own, state, parity, role) for bucket, role, state in found]
+                    if len(out) > 50_000:
+                        yield _rows(out, schema)
+                        out = []
+                yield _rows(out, schema)
+
+        asked = now.groupBy("id").agg(F.collect_list(F.struct("bucket", "state")).alias("asked"))
+        made = written(lines.join(asked, "id").select("id", "line", "asked").mapInArrow(run, schema), "line-finer")
+        # Sixteen members by hash tell whether a bucket's lines are alike; that decides how
+        # it is worked on, never what comes out.
+        some = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(r), "id"), "id", "parity")) for r in range(16)]))
+        told = made.groupBy("bucket").agg(F.approx_count_distinct("id").alias("about"), F.count(F.lit(1)).alias("n"), F.min("role").alias("role"), some.alias("some"))
+        pairs = F.flatten(F.transform("some", lambda x: F.transform("some", lambda y: F.when(x["id"] != y["id"], F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= 4 * threshold))))
+        alike = F.size(F.filter(pairs, lambda p: p)) * 2 >= F.size(F.filter(pairs, lambda p: p.isNotNull()))
+        told = told.filter("role = 0 and n > 1").select("bucket", ((F.col("n") > BLOCK) & (F.col("about") > BLOCK // 2) & ~alike).alias("again"))
+        told = written(told, "line-finer-sizes")
+        again = told.filter("again") if level < LEVELS else told.limit(0)
+        done.append(made.select("bucket", "id").distinct().join(told.select("bucket").join(again.select("bucket"), "bucket", "left_anti"), "bucket"))
+        if again.isEmpty():
+            break
+        now = made.join(again.select("bucket"), "bucket").select("bucket", "id", "state")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return written(out, "line-members-finer")
+
+
+def _state(found: tuple[int, int, list[Gap]]) -> tuple[int, int, str]:
+    bucket, role, gaps = found
+    return bucket, role, json.dumps([role, gaps])
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
 def _verifier(threshold: int):
     def prepare(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         lines = [t.decode("utf-8", "replace") for t in texts]
@@ -250,20 +362,29 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's id and text count as one: all of them keep what the first keeps. Lines of
     documents with a null id stand first, and documents that share an id by their text.
     """
-    return _told(docs, id_col, text_col, least, threshold, short).drop("t1")
+    return _told(docs, id_col, text_col, least, threshold, short).drop("t1", "class_t1", "size")
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, threshold: int = THRESHOLD, short: bool = False) -> DataFrame:
-    """``line_classes`` with t1, which tells documents that share an id from one another."""
+    """``line_classes`` with t1 and class_t1, which tell documents that share an id from one
+    another, and the line's size."""
     lines = line_keys(docs, id_col, text_col, 0 if short else least)
     equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.split(_text(text_col), "\n", -1).alias("t"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """Rows of ``ids`` (k1 and more) with k2 and the line."""
+        rest = [c for c in ids.columns if c != "k1"]
+        asked = equal.join(ids, "k1").select("first.doc_id", "first.t1", "first.line_no", "k1", "k2", *rest)
+        found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["t1"] == texts["t1"])).select("k1", "k2", *rest, F.get("t", "line_no").alias("line"))
+        # Rows that repeat a document give the line again.
+        return found.filter((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(3), "line") == F.col("k2")))
+
     members = written(_candidates(docs, text_col, least, threshold), "line-members")
+    members = _refined(members, fetch, threshold)
     sizes = equal.groupBy(F.col("k1").alias("id")).agg(F.max("size").alias("weight"))
     met = shared_buckets(members.join(sizes, "id").select("bucket", "id", "weight"), BLOCK)
-    asked = equal.join(met.withColumnRenamed("id", "k1"), "k1").select("first.doc_id", "first.t1", "first.line_no", "k1", "k2", "buckets")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.split(_text(text_col), "\n", -1).alias("t"))
-    found = asked.join(texts, asked["doc_id"].eqNullSafe(texts["doc_id"]) & (asked["t1"] == texts["t1"])).select("k1", "k2", "buckets", F.get("t", "line_no").alias("line"))
-    found = found.filter((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(3), "line") == F.col("k2")))
+    found = fetch(met.withColumnRenamed("id", "k1"))
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
     prepare, linked = _verifier(threshold)
     near = classes(link(found.select(key.alias("key"), "buckets", "line"), "key", "buckets", "line", prepare, linked))
@@ -275,26 +396,35 @@ def _told(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, thres
     # Written, so that the join below has an exchange on either side: then the key of a
     # line that most documents have can be split.
     told = written(told, "line-classes")
-    return lines.drop("size").join(told, ["k1", "k2"]).select(
-        "doc_id", "t1", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links",
+    return lines.join(told, ["k1", "k2"]).select(
+        "doc_id", "t1", "line_no", "size", F.col("class.doc_id").alias("class_doc_id"), F.col("class.t1").alias("class_t1"), F.col("class.line_no").alias("class_line_no"), "n_links",
         (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("t1") == F.col("class.t1")) & (F.col("line_no") == F.col("class.line_no"))).alias("keep"),
     )
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy: float = COPY, **options) -> DataFrame:
     """``docs`` without lines that repeat an earlier one: short ones exactly, others also
-    nearly. Blank lines stay between the others. A document goes that loses lines and has
-    no word in those left; one that loses none stays as it is."""
-    gone = _told(docs, id_col, text_col, **{"short": True} | options).filter("not keep").groupBy("doc_id", "t1").agg(F.collect_set("line_no").alias("gone"))
-    own, hashed, lost = fresh(docs, "own_id"), fresh(docs, "own_hash"), fresh(docs, "lost")
-    gone = gone.select(F.col("doc_id").alias(own), F.col("t1").alias(hashed), F.col("gone").alias(lost))
+    nearly. Blank lines stay between the others.
+
+    A document goes of which ``copy`` or more of all characters are lines that stand first
+    in one and the same other document: it is a copy with changes, and the changed lines
+    alone would look like a text of their own. So does one that loses lines and has no word
+    in those left. One that loses none stays as it is. Null texts stay.
+    """
+    repeats = _told(docs, id_col, text_col, **{"short": True} | options).filter("not keep")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("t1") == F.col("class_t1")))
+    by_source = repeats.groupBy("doc_id", "t1", "class_doc_id", "class_t1").agg(F.collect_set("line_no").alias("gone"), F.sum(F.when(other, F.col("size"))).alias("same"))
+    gone = by_source.groupBy("doc_id", "t1").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.max("same").alias("same"))
+    own, hashed, lost, same = fresh(docs, "own_id"), fresh(docs, "own_hash"), fresh(docs, "lost"), fresh(docs, "same")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("t1").alias(hashed), F.col("gone").alias(lost), F.col("same").alias(same))
     joined = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]) & (F.xxhash64(docs[text_col].cast("string")) == gone[hashed]), "left")
     all_lines = F.split(_text(text_col), "\n", -1)
     kept = F.filter(all_lines, lambda x, i: ~x.rlike(r"\S") | ~F.array_contains(lost, i))
     # Repeats of blank lines alone are no loss.
     whole = F.col(lost).isNull() | (F.size(kept) == F.size(all_lines))
     text = F.when(whole, F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    left = whole | F.exists(kept, lambda x: x.rlike(_WORD))
+    size = F.length(F.regexp_replace(F.col(text_col).cast("string"), "\n", ""))
+    left = whole | (F.exists(kept, lambda x: x.rlike(_WORD)) & (F.coalesce(F.col(same), F.lit(0)) < F.lit(copy) * size))
     return joined.filter(left).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

@@ -107,14 +107,37 @@ def test_line_classes(spark, monkeypatch, block):
     assert sorted(map(tuple, line_dedup.line_classes(docs).collect())) == brute_lines(rows)
 
 
+def copies(rows, told):
+    """Documents of which four fifths stand first in one other document."""
+    texts, same = dict(rows), Counter()
+    for d, k, class_d, *_, keep in told:
+        if not keep and class_d != d:
+            same[d, class_d] += len(texts[d].split("\n")[k])
+    return {d for (d, _), n in same.items() if n >= line_dedup.COPY * len(texts[d].replace("\n", ""))}
+
+
+def test_changed_copies_go_whole(spark):
+    rng = random.Random(2)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(40)]
+    rows = [(1, "\n".join(lines[:10])), (2, "\n".join([*lines[:9], lines[20]])), (3, "\n".join([*lines[:5], *lines[21:25]])), (4, "\n".join(lines[25:27] * 9 + lines[27:29])), (5, "\n".join([*lines[1:5], *lines[21:24], lines[30], lines[31]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
+    # The fourth repeats itself, the fifth two documents: these lose lines and stay.
+    assert out == {1: rows[0][1], 3: "\n".join(lines[21:25]), 4: "\n".join(lines[25:29]), 5: "\n".join(lines[30:32])}
+    assert 2 in {r.doc_id for r in line_dedup.drop_repeated_lines(docs, copy=0.95).collect()}
+
+
 def test_repeated_lines_go(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, keep string, line_no int").repartition(3)
     out = line_dedup.drop_repeated_lines(docs)
     assert out.columns == docs.columns
-    gone = {(r[0], r[1]) for r in brute_lines(rows) if not r[5]}
+    told = brute_lines(rows)
+    gone, copied = {(r[0], r[1]) for r in told if not r[5]}, copies(rows, told)
     want = {}
     for d, t in rows:
+        if d in copied:
+            continue
         lines = [x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone]
         if t is None or lines:
             want[d] = None if t is None else "\n".join(lines)
@@ -147,9 +170,9 @@ def test_short_lines_have_classes(spark, monkeypatch):
 
 def test_copies_leave_no_stubs(spark):
     line = "a line that is long enough to count"
-    rows = [(1, f"Haanth.\n\n{line}\n"), (2, f"Haanth.\n\n{line}\n"), (3, f"{line}\n"), (4, "Haanth."), (5, f"Haanth.\n\nnew\n{line}"), (6, f"{line}\n--"), (7, "\n"), (8, f"{line} and more\n\nown words")]
+    rows = [(1, f"Haanth.\n\n{line}\n"), (2, f"Haanth.\n\n{line}\n"), (3, f"{line}\n"), (4, "Haanth."), (5, f"Haanth.\n\nnew words of the fifth alone\n{line}"), (6, f"{line}\n--"), (7, "\n"), (8, f"{line} and more\n\nown words")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    want = {1: rows[0][1], 5: "\nnew", 7: "\n", 8: rows[7][1]}
+    want = {1: rows[0][1], 5: "\nnew words of the fifth alone", 7: "\n", 8: rows[7][1]}
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == want
 
 

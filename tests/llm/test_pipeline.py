@@ -13,7 +13,7 @@ import sentencepiece
 from gridgraph.llm import language_id, sentencepiece_codec
 from gridgraph.llm.queries import ORACLE_SQL, QUERIES
 
-from tests.llm.test_pairs import brute_documents, brute_lines
+from tests.llm.test_pairs import brute_documents, brute_lines, copies
 from tests.llm.test_texts import brute_report, speech, words
 
 DATA = "/root/testdata/sf0.001"
@@ -46,9 +46,12 @@ def test_pipeline(spark, corpus):
     model = language_id.fit(docs.filter(language_id.fold() > 0), "text", "lang")
     xs = {d: language_id.features(t.encode() if t else None) for d, t, _ in rows}
     left = [(d, t) for d, t, _ in rows if xs[d] is not None and model.predict(np.array([xs[d]]))[1][0] >= language_id.CERTAIN]
-    gone = {(r[0], r[1]) for r in brute_lines(left) if not r[5]}
+    told = brute_lines(left)
+    gone, copied = {(r[0], r[1]) for r in told if not r[5]}, copies(left, told)
     kept = []
     for d, t in left:
+        if d in copied:
+            continue
         lines = [x for k, x in enumerate(t.split("\n")) if (d, k) not in gone]
         if lines:
             kept.append((d, "\n".join(lines)))
