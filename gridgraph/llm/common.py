@@ -34,11 +34,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def for_this_session(spark: SparkSession, path: str) -> None:
+    """A written path is deleted when the driver's JVM ends; results may be read from it
+    until then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as Parquet in the shared folder: columns and row groups can be skipped
     when it is read again, which a checkpoint does not offer."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    for_this_session(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, shared_path, sliced, table, written
+from gridgraph.llm.common import as_bytes, for_this_session, shared_path, sliced, table, written
 
 END = b"\r\n\r\n"
 SEGMENT_BYTES = 64 << 10
@@ -321,6 +321,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's row, as read back from the archives that were written of them."""
     path = shared_path(spark, "warc")
     write_archives(payloads(table(spark, sf_dir, "pages"), "page_id", "url", "html"), path)
+    for_this_session(spark, path)
     back = read_archives(spark, path)
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "error")
 
