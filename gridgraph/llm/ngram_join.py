@@ -168,54 +168,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links 0, n_copies 1. A document with a null id takes part and has the least id of
     the others as class_id (null, if all are null). Repeated rows each get a row.
     """
-    return _told(docs, id_col, text_col, n, threshold, recall, hashes).drop("t1")
+    return _told(docs, id_col, text_col, n, threshold, recall, hashes).drop("t1", "keep")
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """The rows of ``near_duplicates``, and t1, the hash of the text."""
+    """The rows of ``near_duplicates`` with t1, the hash of the text, and keep: whether id and
+    text are those that stand for the class."""
     bands, rows = bands_and_rows(threshold, recall, hashes)
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("weight"), F.min("bands").alias("bands"))
+    sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")).alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("weight"), F.min("bands").alias("bands"))
     sets = written(sets, "sets")
     met = shared_buckets(sets.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"), "weight").groupBy("bucket", "id").agg(F.max("weight").alias("weight")))
-    asked = sets.join(met.withColumnRenamed("id", "k1"), "k1").select(F.col("least").alias("doc_id"), "k1", "k2", "buckets")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("own"), F.col(text_col).cast("string").alias("t"))
+    asked = sets.join(met.withColumnRenamed("id", "k1"), "k1").select("least.doc_id", "least.t1", "k1", "k2", "buckets")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("own"), F.xxhash64(text).alias("hashed"), text.alias("t"))
     key = F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
-    found = _of_key(asked.join(texts, F.col("doc_id").eqNullSafe(F.col("own"))).select(key.alias("key"), "buckets", "t"), n)
+    # Rows that repeat an id and text give the text again; it counts once.
+    found = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("t1") == F.col("hashed"))).select(key.alias("key"), "buckets", "t")
     check = _Verifier(n, threshold)
     near = classes(link(found, "key", "buckets", "t", check.prepare, check.linked))
     near = written(sets.select(key.alias("key"), "k1", "k2", "least").join(near, "key").select("k1", "k2", "least", "n_links", "root"), "set-links")
     near = near.join(near.groupBy("root").agg(F.min("least").alias("class")), "root").select("k1", "k2", "class", "n_links")
-    told = sets.select("k1", "k2", "least", "n_copies").join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
+    told = sets.select("k1", "k2", "least", "n_copies").join(near, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("class", "least").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
     # Written, so that the join below has an exchange on either side: then a key that a
     # third of all documents share can be split.
     told = written(told, "set-classes")
-    alone = signed.filter("k1 is null").select("doc_id", "t1", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
-    return signed.filter("k1 is not null").select("doc_id", "t1", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "t1", "class_id", "n_links", "n_copies").unionAll(alone)
-
-
-def _of_key(rows: DataFrame, n: int) -> DataFrame:
-    """Rows whose text has the set that their key names; documents that share an id may
-    have others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in sliced(batches, 2000):
-            told = batch.column(0).to_pylist()
-            same = [f"{a & (1 << 64) - 1:016X}{b & (1 << 64) - 1:016X}" == k for k, (a, b) in zip(told, (set_key(shingles(t, hashes, n)) for t in as_bytes(batch.column(2))), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema)
+    alone = signed.filter("k1 is null").select("doc_id", "t1", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(True).alias("keep"))
+    keep = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("t1") == F.col("class.t1"))
+    return signed.filter("k1 is not null").select("doc_id", "t1", "k1", "k2").join(told, ["k1", "k2"]).select("doc_id", "t1", F.col("class.doc_id").alias("class_id"), "n_links", "n_copies", keep.alias("keep")).unionAll(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: that of the least id. Of rows that
-    repeat this id, all stay that have it; rows with a null id stay only in classes
-    where every id is null."""
+    """``docs`` with one document of each class: that of the least id, and of several with
+    this id that of the least hash of its text; rows that repeat this id and text stay.
+    Null ids come last: one stays only in classes where every id is null. Texts that are
+    null or have no words stay."""
     own, hashed = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
     told = _told(docs, id_col, text_col, **options)
     # An id alone does not tell rows with null or repeated ids from one another.
-    gone = told.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(own), F.col("t1").alias(hashed)).distinct()
+    gone = told.filter(~F.col("keep")).select(F.col("doc_id").alias(own), F.col("t1").alias(hashed)).distinct()
     return docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone[own]) & (F.xxhash64(docs[text_col].cast("string")) == gone[hashed]), "left_anti")
 
 

@@ -233,6 +233,10 @@ def test_shared_ids_lose_no_unique_text(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "unique words of no other"), (7, "a b c d e f"), (7, "also like no other text")], schema)
     want = [("3", "a b c d e f"), ("7", "also like no other text"), ("None", "unique words of no other")]
     assert sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(docs).collect()) == want
+    # Of one id and of null ids alike, one text of a class stays; repeated rows both do.
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and"
+    docs = spark.createDataFrame([(5, near), (5, near + " more"), (5, near + " other"), (None, "x y z"), (None, "X y z!"), (6, "a b"), (6, "a b")], schema)
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(docs).collect()) == ["5", "6", "6", "None"]
     line, other = "a line that is long enough to count", "words that stand in one document only"
     docs = spark.createDataFrame([(3, line), (7, line + "\nmore of seven"), (7, other), (None, "first of a null id\nx"), (None, "y\nx"), (None, other[:9])], schema)
     out = sorted((str(r.doc_id), r.text) for r in line_dedup.drop_repeated_lines(docs).collect())
