@@ -40,9 +40,10 @@ COPY = 0.8
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Lines that a task remembers in order not to pass them on again.
 SEEN = 1 << 18
-#: Lines of a block that are compared with one another (lines are short); larger buckets of
-#: unlike lines are taken apart by further segments, so many times at most.
-BLOCK, LEVELS = 2048, 6
+#: Lines of a block that are compared with one another.
+BLOCK = 256
+#: Larger buckets of unlike lines are taken apart by further segments, so many times at most.
+HOT, LEVELS = 2048, 6
 
 
 def segments(n: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -277,7 +278,7 @@ def finer(line: str, bucket: int, role: int, gaps: list[Gap]) -> Iterator[tuple[
 def _refined(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
     """``members`` with large buckets of lines that are mostly unlike taken apart, until
     they are small, alike, or cut ``LEVELS`` times. Similar lines still share a bucket."""
-    hot = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("bucket")
+    hot = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("bucket")
     hot = written(hot, "line-hot")
     if hot.isEmpty():
         return members
@@ -313,7 +314,7 @@ def _refined(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], thresh
         told = made.groupBy("bucket").agg(F.approx_count_distinct("id").alias("about"), F.count(F.lit(1)).alias("n"), F.min("role").alias("role"), some.alias("some"))
         pairs = F.flatten(F.transform("some", lambda x: F.transform("some", lambda y: F.when(x["id"] != y["id"], F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= 4 * threshold))))
         alike = F.size(F.filter(pairs, lambda p: p)) * 2 >= F.size(F.filter(pairs, lambda p: p.isNotNull()))
-        told = told.filter("role = 0 and n > 1").select("bucket", ((F.col("n") > BLOCK) & (F.col("about") > BLOCK // 2) & ~alike).alias("again"))
+        told = told.filter("role = 0 and n > 1").select("bucket", ((F.col("n") > HOT) & (F.col("about") > HOT // 2) & ~alike).alias("again"))
         told = written(told, "line-finer-sizes")
         again = told.filter("again") if level < LEVELS else told.limit(0)
         done.append(made.select("bucket", "id").distinct().join(told.select("bucket").join(again.select("bucket"), "bucket", "left_anti"), "bucket"))

@@ -102,6 +102,7 @@ def test_parity_keeps_near_lines():
 @pytest.mark.parametrize("block", [2, 256])
 def test_line_classes(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "HOT", block)
     rows = line_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert sorted(map(tuple, line_dedup.line_classes(docs).collect())) == brute_lines(rows)

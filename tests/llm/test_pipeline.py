@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
-from gridgraph.llm import language_id, sentencepiece_codec
+from gridgraph.llm import language_id, line_dedup, sentencepiece_codec
 from gridgraph.llm.queries import ORACLE_SQL, QUERIES
 
 from tests.llm.test_pairs import brute_documents, brute_lines, copies
@@ -71,6 +71,34 @@ def test_pipeline(spark, corpus):
     assert any(r[2] for r in told.values()) and any(r[5] for r in told.values())
 
 
+def brute_short_lines(rows):
+    """Lines that are too short for the edit join: one where they are equal."""
+    found = [(d, k, x) for d, t in rows if t is not None for k, x in enumerate(t.split("\n")) if len(x) < line_dedup.LEAST]
+    first = {}
+    for d, k, x in found:
+        first[x] = min(first.get(x, (d, k)), (d, k))
+    return [(d, k, *first[x], 0, (d, k) == first[x]) for d, k, x in found]
+
+
+def test_registered_queries(spark, corpus, tmp_path):
+    """The queries that no SQL expresses, as they are registered, over whole tables."""
+    path, rows, _ = corpus
+    texts = [(d, t) for d, t, _ in rows]
+    told = {n: sorted(map(tuple, QUERIES[n](spark, path).collect())) for n in ("op3_line_dedup", "op5_sentencepiece", "op7_ngram_join")}
+    assert told["op3_line_dedup"] == sorted([*brute_lines(texts), *brute_short_lines(texts)])
+    assert told["op7_ngram_join"] == brute_documents(texts)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    want = []
+    for d, t in texts:
+        ids = lib.encode(t or "", add_eos=True)
+        want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()))
+    assert told["op5_sentencepiece"] == sorted(want)
+    pages = [(1, "<p>one<p>two"), (2, None), (3, "<table><tr><td>a<td>b</table>"), (3, "x")]
+    spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "p" / "pages.parquet"))
+    found = sorted(tuple(r) for r in QUERIES["op8_html"](spark, str(tmp_path / "p")).select("page_id", "text", "n_chars", "n_lines").collect())
+    assert found == [(1, "one\n\ntwo", 8, 3), (2, "", 0, 0), (3, "a  b", 4, 1), (3, "x", 1, 1)]
+
+
 def test_stages_keep_the_columns(spark, corpus):
     path, _, _ = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet")
