@@ -55,12 +55,24 @@ def random_edges(spark: SparkSession, size: int, density: float, seed: int = 42)
     if not 0 <= density <= 1:
         raise ValueError("a density is from 0 to 1")
 
+    def told(rows: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
+        src = np.repeat(np.array(rows, np.int64), [len(c) for c in cells])
+        dst = np.concatenate([np.zeros(0, np.int64), *cells])
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.zeros(len(src), np.int32))], names=["src", "dst", "attr"])
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, cells, n = [], [], 0
             for row in batch.column(0).to_pylist():
                 rng = np.random.default_rng([seed & 0xFFFFFFFF, row])
-                at = np.sort(rng.choice(size, rng.binomial(size, density), replace=False, shuffle=False)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(at), pa.array(np.zeros(len(at), np.int32))], names=["src", "dst", "attr"])
+                if many := rng.binomial(size, density):
+                    rows.append(row)
+                    cells.append(np.sort(rng.choice(size, many, replace=False, shuffle=False)).astype(np.int64))
+                    n += many
+                if n > 100_000:
+                    yield told(rows, cells)
+                    rows, cells, n = [], [], 0
+            yield told(rows, cells)
 
     return spark.range(size).mapInArrow(draw, "src bigint, dst bigint, attr int")
 
