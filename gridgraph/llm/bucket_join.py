@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, sliced
+from gridgraph.llm.common import as_bytes, bound_batches, sliced
 from gridgraph.plans.algorithms import component_labels
 from gridgraph.plans.lineage import cut
 
@@ -64,6 +64,7 @@ def link(rows: DataFrame, key: str, buckets: str, data: str, prepare: Callable,
     ``prepare(texts)`` makes a unit's texts ready once, and ``linked(ready, i, js)`` gives
     those of the positions js whose texts are similar to the one at i.
     """
+    bound_batches(rows.sparkSession, 500)
     dealt = (
         rows.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d"), F.transform(buckets, lambda b: b["bucket"]).alias("all"), F.explode(buckets).alias("u"))
         .select("k", "d", "all", F.col("u.bucket").alias("bucket"), F.col("u.blocks").alias("n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import sliced, table, written
+from gridgraph.llm.common import bound_batches, sliced, table, written
 
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 _ESCAPED = re.compile(r"\\(.)|([<\[])\\", re.DOTALL)
@@ -54,6 +54,7 @@ def expand(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     conv_id form a conversation. A task holds one conversation's turns at a time and
     gives out its examples one by one.
     """
+    bound_batches(conversations.sparkSession, 500)
     turn = F.struct(F.col(turn_col).cast("bigint").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = conversations.groupBy(F.col(conv_col).cast("bigint").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
@@ -106,6 +107,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     The last example of a conversation holds all of its turns; the trainable texts of
     all examples, in order, are the replies.
     """
+    bound_batches(examples.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 500):

@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keeps Arrow batches small, unless the session has smaller ones. The setting is read
+    when a plan is made, and results are planned by whoever uses them, so it stays; with
+    Spark's default of 10,000 rows executors need half as much memory again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that a worker has Python objects of few texts at
     a time. Spark's own bound (64 MB a batch) holds before."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import _TO_WORDS, as_bytes, fresh, sliced, table, words, written
+from gridgraph.llm.common import _TO_WORDS, as_bytes, bound_batches, fresh, sliced, table, words, written
 
 WINDOW = 13
 SAMPLE = 8
@@ -260,6 +260,7 @@ def find_spans(
     count once. Repeated rows each get their own result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     out = docs.select(*rest, F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {_SPAN})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for block, last in _blocks(benchmark, item_col, item_text_col, block_bytes):

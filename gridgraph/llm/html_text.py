@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, sliced, table
+from gridgraph.llm.common import as_bytes, bound_batches, sliced, table
 
 # Fixed values of the HTML standard: sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -601,6 +601,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """``pages`` with the visible text in ``text_col`` (in place of a column of that
     name) instead of the html. Null html gives an empty text; repeated rows each get
     their own; the whole page is rendered, however long. No row leaves its partition."""
+    bound_batches(pages.sparkSession, 500)
     rest = [c for c in pages.columns if c not in (html_col, text_col)]
     rows = pages.select(*rest, F.col(html_col).cast("string").alias(text_col))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, fresh, sliced, table
+from gridgraph.llm.common import as_bytes, bound_batches, fresh, sliced, table
 
 #: Rows that the classifiers are fitted on, at most; languages have equal shares.
 SAMPLE_ROWS = 2400
@@ -125,6 +125,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_rows: int = SA
     of least hash, as many of each language, so that the sample is the same whatever the
     order of rows. Their features are made where the rows are. Of more languages than
     ``sample_rows``, the most frequent are learned."""
+    bound_batches(labelled.sparkSession)
     text = F.col(text_col).cast("string")
     rows = labelled.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("l"), text.alias("t"), F.xxhash64(text).alias("h"))
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample_rows).collect()}
@@ -160,6 +161,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     ``und`` with score 0, and not ambiguous. Equal losses go to the first language in
     alphabetical order. Repeated rows each get their own result.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.select(*[c for c in docs.columns if c not in (lang_out, score_out, ambiguous_out)])
     text = fresh(rest, "text_read")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgraph.llm.bucket_join import classes, link, shared_buckets
-from gridgraph.llm.common import as_bytes, fresh, sliced, table, written
+from gridgraph.llm.common import as_bytes, bound_batches, fresh, sliced, table, written
 
 #: Edits within which lines count as one.
 THRESHOLD = 2
@@ -369,6 +369,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _told(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, threshold: int = THRESHOLD, short: bool = False) -> DataFrame:
     """``line_classes`` with t1 and class_t1, which tell documents that share an id from one
     another, and the line's size."""
+    bound_batches(docs.sparkSession)
     lines = line_keys(docs, id_col, text_col, 0 if short else least)
     equal = written(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "line_no")).alias("first"), F.max("size").alias("size")), "lines")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(_text(text_col)).alias("t1"), F.split(_text(text_col), "\n", -1).alias("t"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgraph.llm.bucket_join import classes, link, shared_buckets
-from gridgraph.llm.common import as_bytes, fresh, sliced, table, words, written
+from gridgraph.llm.common import as_bytes, bound_batches, fresh, sliced, table, words, written
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions of a signature, at most.
@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _told(docs: DataFrame, id_col: str, text_col: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """The rows of ``near_duplicates`` with t1, the hash of the text, and keep: whether id and
     text are those that stand for the class."""
+    bound_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall, hashes)
     signed = written(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
     sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1")).alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("weight"), F.min("bands").alias("bands"))

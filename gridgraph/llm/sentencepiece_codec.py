@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, sliced, table
+from gridgraph.llm.common import as_bytes, bound_batches, sliced, table
 
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -252,6 +252,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool =
     each get their own result. The model file is read by the driver.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(Codec(f.read()))
     made = (["ids"] if ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgraph.llm.common import as_bytes, for_this_session, shared_path, sliced, table, written
+from gridgraph.llm.common import as_bytes, bound_batches, for_this_session, shared_path, sliced, table, written
 
 END = b"\r\n\r\n"
 SEGMENT_BYTES = 64 << 10
@@ -151,6 +151,8 @@ def write_archives(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
     """Writes rows of page_id, url, payload, digest and refers_to as WARC files. Rows that
     repeat a page write its records again, under the same identifiers."""
 
+    bound_batches(rows.sparkSession, 500)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 100):
             ids, urls, _, digests, refers = (c.to_pylist() for c in batch.columns)
@@ -270,6 +272,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     segments are shuffled, and a group is one record's segments. Revisits meet digests and
     lengths of responses, not payloads.
     """
+    bound_batches(spark, 100)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
