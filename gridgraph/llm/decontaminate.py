@@ -19,7 +19,7 @@ several, the documents are written between the passes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -259,6 +259,12 @@ def find_spans(
     item id reads as an empty id; items without words are never found; items of one id
     count once. Repeated rows each get their own result.
     """
+    return _searched(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int, finish: Callable | None = None, schema=None) -> DataFrame:
+    """``find_spans``; with ``finish``, each batch of the result is handed to it where it is
+    made, and becomes a batch of ``schema``."""
     spark = docs.sparkSession
     bound_batches(spark)
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
@@ -267,7 +273,9 @@ def find_spans(
         shared = spark.sparkContext.broadcast(Phrases(block, window))
         del block
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        end = finish if last else None
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, end=end) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 2000):
                 texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
                 results, shard = [], Shard(shared.value)
@@ -286,9 +294,10 @@ def find_spans(
                     items.append(sorted({*its, *had}))
                 span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 made = [pa.array([n for n, _, _ in results], pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], names=batch.schema.names)
+                whole = pa.RecordBatch.from_arrays([*batch.columns[:-3], *made], names=batch.schema.names)
+                yield end(whole) if end else whole
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(search, schema if end else out.schema)
         if not last:
             # Written, so that no two blocks are in memory together.
             out = written(out, "spans")
@@ -320,31 +329,30 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return bytes(out + text[at:])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without contaminated documents; from the others the found spans are cut.
     Columns and their order stay; null texts stay null."""
     # Columns of the names that are found here step aside meanwhile.
     own = docs.withColumnsRenamed({c: fresh(docs, f"own_{c}") for c in ("n_words", "spans", "items") if c in docs.columns})
-    found = find_spans(own, benchmark, text_col=text_col, **options)
     schema = own.schema
     names = [f.name for f in schema.fields]
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2000):
-            at = batch.schema.get_field_index(text_col)
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            n_words = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
-            hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
-            keep = [not (h and 20 * h >= n) for h, n in zip(hit, n_words, strict=True)]
-            columns = list(batch.columns)
-            if any(hit):
-                texts = as_bytes(batch.column(at))
-                texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s and k else t for t, s, k in zip(texts, spans, keep, strict=True)]
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            own = [columns[batch.schema.get_field_index(c)] for c in names]
-            yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(remove, schema).toDF(*docs.columns)
+    def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(text_col)
+        spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+        n_words = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
+        hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
+        keep = [not (h and 20 * h >= n) for h, n in zip(hit, n_words, strict=True)]
+        columns = list(batch.columns)
+        if any(hit):
+            texts = as_bytes(batch.column(at))
+            texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s and k else t for t, s, k in zip(texts, spans, keep, strict=True)]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+        own = [columns[batch.schema.get_field_index(c)] for c in names]
+        return pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep, pa.bool_()))
+
+    # Cut where the spans are found: one worker for each task, not two.
+    return _searched(own, benchmark, text_col, item_col, item_text_col, window, block_bytes, remove, schema).toDF(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from gridgraph.llm.common import as_bytes, bound_batches, sliced, table
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Entries in each of the two tables of chunks, and in the table of piece pairs, of a worker.
-CHUNKS, PAIRS = 220_000, 400_000
+CHUNKS, PAIRS = 100_000, 150_000
 _NO_MERGE = float("-inf")
 
 
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         sha = hashlib.sha256
-        for batch in sliced(batches, 2000):
+        for batch in sliced(batches, 500):
             texts = as_bytes(batch.column(batch.num_columns - 1))
             all_ids, n, digests, decoded = [], [], [], []
             for t in texts:
