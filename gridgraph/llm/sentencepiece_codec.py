@@ -31,7 +31,7 @@ from gridgraph.llm.common import as_bytes, bound_batches, sliced, table
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Entries in each of the two tables of chunks, and in the table of piece pairs, of a worker.
-CHUNKS, PAIRS = 100_000, 150_000
+CHUNKS, PAIRS = 160_000, 250_000
 _NO_MERGE = float("-inf")
 
 
